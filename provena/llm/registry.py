@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash, suffix_dedup, token_files
+from . import bpe, chat, decontaminate, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_simhash": simhash.query,
+    "op4_chat": chat.query,
     "op6_token_files": token_files.query,
     "op7_byte_bpe": bpe.query,
     "op8_suffix_dedup": suffix_dedup.query,
 }
-SQL = {"op1_decontaminate": decontaminate.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op4_chat": chat.SQL}
