@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Bytes of text that a Python worker takes at once; its numpy temporaries are a small multiple of it.
 SLICE_BYTES = 2 << 20
@@ -180,3 +180,58 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class Rows:
+    """Remembers a row of numbers for each chunk. It only saves work, and is emptied when it holds over `limit` chunks."""
+
+    def __init__(self, width: int, limit: int):
+        self.width, self.limit = width, limit
+        self.at: dict[bytes, int] = {}
+        self.values = np.zeros((1 << 12, width))
+
+    def find(self, chunks: list[bytes], make) -> np.ndarray:
+        """The rows of distinct chunks; make(new chunks) gives those that aren't known."""
+        if len(self.at) > self.limit:
+            self.at.clear()
+        found = list(map(self.at.get, chunks))
+        new = [k for k, x in enumerate(found) if x is None]
+        if new:
+            n = len(self.at)
+            if n + len(new) > len(self.values):
+                self.values = np.concatenate([self.values[:n], np.zeros((n + len(new), self.width))])
+            self.values[n : n + len(new)] = make([chunks[k] for k in new])
+            for x, k in enumerate(new, n):
+                self.at[chunks[k]] = found[k] = x
+        return self.values[np.array(found, dtype=np.int64)]
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def chunk_sums(buf: np.ndarray, offsets: np.ndarray, memo: Rows, make) -> np.ndarray:
+    """Per text the sum of its chunks' rows; chunks as word_cuts has them, A-Z lower-cased, without white space around."""
+    out = np.zeros((len(offsets) - 1, memo.width))
+    if not len(buf):
+        return out
+    buf = LOWER[buf]
+    cuts = word_cuts(buf, offsets)
+    at, distinct = uniques(buf, cuts)
+    rows = memo.find([c.strip() for c in distinct], make)
+    begin = np.searchsorted(cuts[:-1], offsets)
+    full = np.flatnonzero(np.diff(begin) > 0)  # texts that have chunks; the empty ones between them add none
+    if len(full):
+        out[full] = np.add.reduceat(rows[at], begin[full], axis=0)
+    return out
+
+
+def fold(id_: Column, parts: int) -> Column:
+    """crc32 of the id as text, modulo parts; a null id counts as empty text."""
+    return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def bounded_sample(rows: DataFrame, by: list[str], most: int, seed: int) -> list:
+    """At most `most` rows of each group, the first by a hash of all columns; the rank limit is applied before the shuffle too."""
+    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *rows.columns))
+    return rows.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_").collect()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, simhash, suffix_dedup, token_files
+from . import bpe, chat, decontaminate, hash_forest, language, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_simhash": simhash.query,
     "op4_chat": chat.query,
+    "op5_toxicity": toxicity.query,
     "op6_token_files": token_files.query,
     "op7_byte_bpe": bpe.query,
     "op8_suffix_dedup": suffix_dedup.query,
+    "op9_hash_forest": hash_forest.query,
+    "op10_language": language.query,
 }
 SQL = {"op1_decontaminate": decontaminate.SQL, "op4_chat": chat.SQL}
