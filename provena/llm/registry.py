@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, hash_forest, language, simhash, suffix_dedup, token_files, toxicity
+from . import bpe, chat, decontaminate, hash_forest, language, main_text, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_main_text": main_text.query,
     "op3_simhash": simhash.query,
     "op4_chat": chat.query,
     "op5_toxicity": toxicity.query,
