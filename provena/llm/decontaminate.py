@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import hex_digest, prepare, table
 
@@ -76,8 +76,8 @@ def _original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     return [{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1))]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: id, n_words, n_hit, items (sorted as strings), spans (original byte offsets), contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least: int = 20, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """Per document row: id (or the columns in keep), n_words, n_hit, items (sorted as strings), spans (original byte offsets), contaminated.
 
     contaminated: n_hit > 0 and least * n_hit >= n_words. The benchmark's bytes are counted first; each block of at most
     about block_bytes of it becomes one automaton that is broadcast, and the documents pass the blocks one after the other.
@@ -87,9 +87,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
-    state = "runs array<struct<a:int,n:int>>, items array<string>"
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.expr("cast(array() as array<struct<a:int,n:int>>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("items"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in (keep or [id_col])]).alias("d")
+    kind = docs.select(carried).schema["d"].dataType
+    rows = docs.select(carried, F.col(text_col).alias("t"), F.expr("cast(array() as array<struct<a:int,n:int>>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("items"))
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         patterns = spark.sparkContext.broadcast(windows_of([tuple(x) for x in part.collect()], window))
@@ -122,8 +122,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                 columns = [ids, pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), items, pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
                 yield pa.RecordBatch.from_arrays(columns, names=["d", "n_words", "n_hit", "items", "spans"])
 
-        rows = rows.mapInArrow(run, f"d {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>" if last else f"d {kind}, t string, {state}")
-    return rows.select(F.col("d").alias(id_col), "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        made = T.StructType.fromDDL("n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>" if last else "t string, runs array<struct<a:int,n:int>>, items array<string>")
+        rows = rows.mapInArrow(run, T.StructType([T.StructField("d", kind), *made.fields]))
+    return rows.select("d.*", "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
