@@ -231,7 +231,17 @@ def fold(id_: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, by: list[str], most: int, seed: int) -> list:
-    """At most `most` rows of each group, the first by a hash of all columns; the rank limit is applied before the shuffle too."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *rows.columns))
-    return rows.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_").collect()
+def bounded_sample(rows: DataFrame, by: str, most: int, seed: int) -> list:
+    """At most `most` rows of each group, the first by a hash of all columns.
+
+    Groups are counted first, and only rows under a hash bound that leaves about twice as many are ranked: however large the
+    input, a task sees a few times `most` rows of a group.
+    """
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}  # a row for each class
+    if not counts:
+        return []
+    h = rows.withColumn("h_", F.xxhash64(F.lit(seed), *rows.columns))
+    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * most + 200) / n))])
+    near = h.where(F.pmod("h_", F.lit(1 << 30)) < F.element_at(bound, F.col(by)) * (1 << 30))
+    order = Window.partitionBy(by).orderBy("h_")
+    return near.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_", "h_").collect()

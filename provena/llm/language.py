@@ -211,7 +211,7 @@ def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
 def learn(docs: DataFrame, where: Column, *, text_col: str = "text", lang_col: str = "lang") -> Network:
     """A network of a bounded sample of the rows where `where` holds."""
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    return train([(r["t"], r["l"]) for r in bounded_sample(rows, ["l"], SAMPLE_DOCS, 1)])
+    return train([(r["t"], r["l"]) for r in bounded_sample(rows, "l", SAMPLE_DOCS, 1)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, *, id_col: str = "d
     """A model of a bounded sample of the labelled rows where `where` (of the id) holds."""
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     rows = docs.where(where).select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(marked, F.col("d") == F.col("i")).select("t", "y")
-    sample = bounded_sample(rows, ["y"], SAMPLE_DOCS, 2)
+    sample = bounded_sample(rows, "y", SAMPLE_DOCS, 2)
     return Model().fit([r["t"] for r in sample], np.array([r["y"] for r in sample], dtype=np.float64))
 
 
