@@ -255,11 +255,11 @@ def jn12(t):
     return t.members().join(lines, F.col("pos") == F.col("i"), "left").select("doc_id", "pos", F.coalesce("n_name", F.lit("")).alias("line"))
 
 
-@query("jn15_grf18_shared_members", f"WITH {MEMBER} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM member a JOIN member b ON a.part_id = b.part_id AND a.doc_id < b.doc_id WHERE a.doc_id <= 300 AND b.doc_id <= 300 GROUP BY a.doc_id, b.doc_id")
+@query("jn15_grf18_shared_members", f"WITH {MEMBER} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.person_id FROM member a JOIN member b ON a.person_id = b.person_id AND b.doc_id = a.doc_id + 1")
 def jn15(t):
-    m = t.members().where("doc_id <= 300").select("doc_id", "part_id")
-    a, b = m.toDF("doc_a", "part_id"), m.toDF("doc_b", "part_id")
-    return a.join(b, "part_id").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared"))
+    """Members that each document shares with the next, repeats kept."""
+    m = t.members().select("doc_id", "person_id")
+    return m.toDF("doc_a", "person_id").join(m.select((F.col("doc_id") - 1).alias("doc_a"), "person_id", F.col("doc_id").alias("doc_b")), ["doc_a", "person_id"]).select("doc_a", "doc_b", "person_id")
 
 
 @query("jn17_agg02_grf01_stats", f"WITH {EDGE} SELECT (SELECT count(*) FROM supplier) AS persons, (SELECT count(*) FROM orders) AS docs, (SELECT count(*) FROM edge) AS edges, (SELECT count(DISTINCT doc_id) FROM member) AS chains")
@@ -573,11 +573,11 @@ def cov04(t):
     return t.pages.where(F.regexp_extract("url", r"/[a-z]{2}/(\d+)", 1) == "").select("page_id")
 
 
-@query("cov06_jn16_brackets", f"""WITH {PAGE}, r AS (SELECT page, min(idx) AS lo, max(idx) AS hi FROM page GROUP BY page), m AS (SELECT x AS idx FROM range(1, 400) t(x) WHERE x NOT IN (SELECT idx FROM page))
+@query("cov06_jn16_brackets", f"""WITH {PAGE}, r AS (SELECT page, min(idx) AS lo, max(idx) AS hi FROM page GROUP BY page), m AS (SELECT x AS idx FROM range(1, 9001) t(x) WHERE x NOT IN (SELECT idx FROM page))
 SELECT idx, (SELECT arg_max(page, struct_pack(a := lo, b := page)) FROM r WHERE hi < idx) AS prev_page, (SELECT arg_min(page, struct_pack(a := lo, b := page)) FROM r WHERE lo > idx) AS next_page FROM m""")
 def cov06(t):
     ranges = t.page_numbers().groupBy("page").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    return quality.bracket(quality.missing_in_range(t.page_numbers(), "idx", 1, 399), ranges)
+    return quality.bracket(quality.missing_in_range(t.page_numbers(), "idx", 1, 9000), ranges)
 
 
 @query("cov08_three_way", "SELECT k AS person_id, bool_or(s = 'a') AS in_suppliers, bool_or(s = 'b') AS in_lineitems, bool_or(s = 'c') AS in_customers FROM (SELECT s_suppkey AS k, 'a' AS s FROM supplier UNION ALL SELECT l_suppkey, 'b' FROM lineitem UNION ALL SELECT c_custkey, 'c' FROM customer) GROUP BY k")
@@ -626,10 +626,10 @@ def snk02(t):
     return sinks.upsert_replace(old, t.supplier.where("s_suppkey >= 40").select(F.col("s_suppkey").alias("k"), F.lit(None).cast("string").alias("v")), ["k"])
 
 
-@query("snk03_edge_upsert", f"WITH {EDGE} SELECT DISTINCT src, dst FROM edge WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) AND dst IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+@query("snk03_edge_upsert", f"WITH {EDGE} SELECT DISTINCT src, dst FROM edge WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND dst IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def snk03(t):
-    even = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("node"))
-    return sinks.edges_between(t.edges(), even, even, "src", "dst", "node", ["src", "dst"]).select("src", "dst")
+    known = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
+    return sinks.edges_between(t.edges(), known, known, "src", "dst", "node", ["src", "dst"]).select("src", "dst")
 
 
 @query("snk06_partial_update", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'set' ELSE s_name END AS a, s_nationkey AS b FROM supplier")
@@ -701,17 +701,17 @@ def grf12(t):
     return graph.bounded_paths(both, t.spark.range(1, 2).toDF("node"), 2).select(F.col("end").alias("node")).distinct()
 
 
-@query("grf13_bounded_paths", f"WITH {PART_EDGE} SELECT a.src AS start, c.dst AS \"end\", 3 AS length, cast(a.src AS varchar) || ',' || cast(a.dst AS varchar) || ',' || cast(b.dst AS varchar) || ',' || cast(c.dst AS varchar) AS nodes FROM edge a JOIN edge b ON a.dst = b.src AND NOT (a.doc_id = b.doc_id AND a.pos = b.pos) JOIN edge c ON b.dst = c.src AND NOT (c.doc_id = b.doc_id AND c.pos = b.pos) AND NOT (c.doc_id = a.doc_id AND c.pos = a.pos) WHERE a.src = 1 AND c.dst % 50 = 7")
+@query("grf13_bounded_paths", f"WITH {PART_EDGE} SELECT a.src AS start, c.dst AS \"end\", 3 AS length, cast(a.src AS varchar) || ',' || cast(a.dst AS varchar) || ',' || cast(b.dst AS varchar) || ',' || cast(c.dst AS varchar) AS nodes FROM edge a JOIN edge b ON a.dst = b.src AND NOT (a.doc_id = b.doc_id AND a.pos = b.pos) JOIN edge c ON b.dst = c.src AND NOT (c.doc_id = b.doc_id AND c.pos = b.pos) AND NOT (c.doc_id = a.doc_id AND c.pos = a.pos) WHERE a.src = 1")
 def grf13(t):
     e = t.edges("part_id").withColumn("eid", F.concat_ws("-", "doc_id", "pos"))
-    p = graph.bounded_paths(e, t.spark.range(1, 2).toDF("node"), 3, F.col("end") % 50 == 7).where("length = 3")
+    p = graph.bounded_paths(e, t.spark.range(1, 2).toDF("node"), 3).where("length = 3")
     return p.select("start", "end", "length", F.array_join("nodes", ",").alias("nodes"))
 
 
-@query("grf14_bios", f"WITH {MEMBER} SELECT doc_id, pos, s_name, s_acctbal FROM member JOIN supplier ON person_id = s_suppkey WHERE doc_id <= 50")
+@query("grf14_bios", f"WITH {MEMBER} SELECT doc_id, pos, s_name, s_acctbal FROM member JOIN supplier ON person_id = s_suppkey")
 def grf14(t):
     s = t.supplier.select(F.col("s_suppkey").alias("person_id"), "s_name", "s_acctbal")
-    return t.members().where("doc_id <= 50").join(s, "person_id").select("doc_id", "pos", "s_name", "s_acctbal")
+    return t.members().join(s, "person_id").select("doc_id", "pos", "s_name", "s_acctbal")
 
 
 @query("grf15_person_search", "SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE contains(s_name, '00001') AND s_nationkey IS NOT NULL")
@@ -770,9 +770,9 @@ def grf29(t):
     return g.where("as_first > 0 AND as_later > 0")
 
 
-@query("crw01_discovery", f"WITH RECURSIVE {PART_EDGE}, link AS (SELECT DISTINCT src, dst FROM edge WHERE doc_id < 400), w AS (SELECT 1 AS id, 0 AS round UNION SELECT dst, round + 1 FROM w JOIN link ON src = id WHERE round < 4) SELECT id, min(round) AS round FROM w GROUP BY id")
+@query("crw01_discovery", f"WITH RECURSIVE {PART_EDGE}, link AS (SELECT DISTINCT src, dst FROM edge), w AS (SELECT 1 AS id, 0 AS round UNION SELECT dst, round + 1 FROM w JOIN link ON src = id WHERE round < 4) SELECT id, min(round) AS round FROM w GROUP BY id")
 def crw01(t):
-    links = t.edges("part_id").where("doc_id < 400").select("src", "dst").distinct()
+    links = t.edges("part_id").select("src", "dst").distinct()
     return graph.crawl(links, t.spark.range(1, 2), rounds=4).select("id", "round")
 
 
@@ -795,3 +795,154 @@ def sim01(t):
 @query("sim03_combined_graph", f"WITH {EDGE} SELECT DISTINCT src, dst FROM edge WHERE doc_id IN (3, 5, 7, 8)")
 def sim03(t):
     return t.edges().where(F.col("doc_id").isin(3, 5, 7, 8)).select("src", "dst").distinct()
+
+
+# the rest of the inventory
+
+
+def _conversation_docs(t):
+    member = F.struct("turn", F.struct(F.col("role").alias("name"), F.when(F.col("role") == "assistant", F.lit("lead")).otherwise(F.lit("narrator")).alias("role")).alias("m"))
+    g = t.turns().groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(member)), lambda x: x["m"]).alias("members"))
+    return g.select(F.lit("conv").alias("source"), F.col("conv_id").alias("doc_index"), F.lit(None).cast("string").alias("text"), "members")
+
+
+@query("chn05_ingest_edges", f"WITH {SPLIT}, e AS (SELECT conv_id AS doc_index, chain_id, pos + 1 AS pos, role AS src, lead(role) OVER (PARTITION BY conv_id, chain_id ORDER BY pos) AS dst FROM split) SELECT 'conv' AS source, doc_index, chain_id, pos, src, dst FROM e WHERE dst IS NOT NULL")
+def chn05(t):
+    return chains.ingest(_conversation_docs(t))["edges"]
+
+
+@query("chn06_positions", f"WITH {SPLIT} SELECT 'conv' AS source, conv_id AS doc_index, chain_id, pos, role AS norm FROM split")
+def chn06(t):
+    return chains.ingest(_conversation_docs(t))["members"]
+
+
+@query("chn05_snk17_persons", f"WITH {SPLIT}, f AS (SELECT role, count(*) OVER (PARTITION BY role) AS c FROM split) SELECT DISTINCT 'conv' AS source, role AS norm, role AS name, c AS occurrence_count FROM f")
+def chn05_persons(t):
+    return chains.ingest(_conversation_docs(t))["persons"]
+
+
+@query("chn11_person_dimension", "SELECT cast(s_suppkey AS varchar) AS person_id, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 3 = 1 THEN 'v' || cast(s_suppkey AS varchar) ELSE 'narrator_' || cast(s_suppkey AS varchar) END AS name FROM supplier")
+def chn11(t):
+    ids = t.supplier.select(F.col("s_suppkey").cast("string").alias("person_id"), "s_name", (F.col("s_suppkey") % 3).alias("k"))
+    bios, variants = ids.where("k = 0").select("person_id", F.col("s_name").alias("name")), ids.where("k = 1").select("person_id", F.array(F.concat(F.lit("v"), "person_id")).alias("names"))
+    return chains.person_dimension(ids.select("person_id"), bios, variants).select("person_id", "name")
+
+
+@query("chn20_typed_edges", f"WITH {SPLIT} SELECT conv_id, chain_id, role AS first_member, CASE WHEN chain_id = 1 THEN 'primary' ELSE 'follow_up' END AS chain_type FROM split WHERE pos = 0")
+def chn20(t):
+    s = chains.split_by_marker(t.turns(), ["conv_id"], "turn", F.col("role") == "assistant").where("chain_pos = 0")
+    return s.select("conv_id", "chain_id", F.col("role").alias("first_member"), F.when(F.col("chain_id") == 1, F.lit("primary")).otherwise(F.lit("follow_up")).alias("chain_type"))
+
+
+@query("chn21_chn23_validation", f"WITH {SPLIT}, c AS (SELECT conv_id, chain_id, min(role) FILTER (pos = 0) AS last FROM split GROUP BY conv_id, chain_id), b AS (SELECT conv_id, bool_and(last = 'assistant') AS ok FROM c GROUP BY conv_id) SELECT conv_id, ok, CASE WHEN ok THEN 'ok' ELSE 'last is no lead' END AS reason FROM b")
+def chn23(t):
+    s = chains.split_by_marker(t.turns(), ["conv_id"], "turn", F.col("role") == "assistant", reverse=False)
+    person = F.struct("chain_pos", F.struct(F.col("role").alias("name"), F.when(F.col("role") == "assistant", F.lit("lead")).otherwise(F.lit("narrator")).alias("role")).alias("n"))
+    c = s.groupBy("conv_id", "chain_id").agg(F.transform(F.array_sort(F.collect_list(person)), lambda x: x["n"]).alias("narrators"))
+    c = c.select("conv_id", F.struct(F.concat(F.lit("chain_"), F.col("chain_id").cast("string")).alias("chain_id"), F.lit("primary").alias("type"), "narrators").alias("c"))
+    return chains.validate(c.groupBy("conv_id").agg(F.collect_list("c").alias("chains"))).select("conv_id", "ok", "reason")
+
+
+@query("jn08_context_key", f"WITH {MEMBER}, m AS (SELECT doc_id, pos, person_id, lag(person_id) OVER (PARTITION BY doc_id ORDER BY pos) AS previous FROM member), r AS (SELECT person_id, previous FROM m WHERE previous IS NOT NULL GROUP BY person_id, previous HAVING count(*) >= 5) SELECT m.doc_id, m.pos FROM m JOIN r ON m.person_id = r.person_id AND m.previous = r.previous")
+def jn08(t):
+    m = chains.previous_member(t.members(), ["doc_id"], "person_id", None).select("doc_id", "pos", "person_id", "previous")
+    return m.join(m.where("previous IS NOT NULL").groupBy("person_id", "previous").agg(F.count("*").alias("n")).where("n >= 5"), ["person_id", "previous"]).select("doc_id", "pos")
+
+
+@query("jn09_first_mapping_wins", "WITH f AS (SELECT n_regionkey AS k, arg_min(n_name, n_nationkey) AS v FROM nation GROUP BY n_regionkey) SELECT r_regionkey, v AS name FROM region LEFT JOIN f ON r_regionkey = k")
+def jn09(t):
+    first = chains.first_occurrence(t.nation, ["n_regionkey"], ["n_nationkey"]).select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name"))
+    return t.region.join(first, F.col("r_regionkey") == F.col("k"), "left").select("r_regionkey", "name")
+
+
+@query("jn11_res09_text_key", "SELECT * FROM (VALUES ('d1', 1, '12'), ('d1', 2, '5')) v(doc_id, slot, person_id)")
+def res09(t):
+    docs = t.spark.createDataFrame([("d1", "abcdefghijklmnop", ["9", None, None]), ("d2", "short", [None])], "doc_id string, text string, ids array<string>")
+    return resolve.match_text_key(docs, t.spark.createDataFrame([("abcdefghijklmnop", ["9", "5", "12"])], "text string, ids array<string>"))
+
+
+@query("res02_resolution_type", "WITH u AS (SELECT p_name FROM part GROUP BY p_name HAVING count(*) = 1) SELECT p_partkey, CASE WHEN p_name IN (SELECT p_name FROM u) THEN 'unambiguous' WHEN p_size < 10 THEN 'context' WHEN p_size < 20 THEN 'pronoun' ELSE 'remaining' END AS type FROM part")
+def res02(t):
+    single = t.part.groupBy("p_name").agg(F.count("*").alias("n")).where("n = 1").select(F.col("p_name").alias("u"))
+    j = t.part.join(single, F.col("p_name") == F.col("u"), "left")
+    return j.select("p_partkey", F.when(F.col("u").isNotNull(), F.lit("unambiguous")).when(F.col("p_size") < 10, F.lit("context")).when(F.col("p_size") < 20, F.lit("pronoun")).otherwise(F.lit("remaining")).alias("type"))
+
+
+@query("res04_four_steps", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'context' WHEN p_size % 3 = 0 THEN 'rule' WHEN p_size % 5 = 0 THEN 'static' ELSE 'identity' END AS method, CASE WHEN p_size % 4 = 0 THEN 'c' WHEN p_size % 3 = 0 THEN 'r' WHEN p_size % 5 = 0 THEN 's' ELSE p_name END AS resolved, 'NAR_' || upper(left(sha256(CASE WHEN p_size % 4 = 0 THEN 'c' WHEN p_size % 3 = 0 THEN 'r' WHEN p_size % 5 = 0 THEN 's' ELSE p_name END), 12)) AS person_id FROM part")
+def res04(t):
+    p = t.part.select("p_partkey", "p_name", F.col("p_size").cast("long").alias("size"))
+    sizes = t.part.select(F.col("p_size").cast("long").alias("size")).distinct()
+    rule = lambda k, v: sizes.where(F.col("size") % k == 0).select("size", F.lit(v).alias("person_id"))
+    r = resolve.cascade(p, [("context", rule(4, "c"), ["size"]), ("rule", rule(3, "r"), ["size"]), ("static", rule(5, "s"), ["size"])])
+    r = r.select("p_partkey", F.coalesce("resolution", F.lit("identity")).alias("method"), F.coalesce("person_id", "p_name").alias("resolved"))
+    return r.withColumn("person_id", T.person_hash_id(F.col("resolved")))
+
+
+@query("grf03_grf07_ordered_edges", f"WITH {EDGE} SELECT doc_id, string_agg(cast(src AS varchar) || '>' || cast(dst AS varchar), ' ' ORDER BY pos) AS links FROM edge GROUP BY doc_id")
+def grf07(t):
+    g = t.edges().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "src", "dst"))).alias("x"))
+    return g.select("doc_id", F.array_join(F.transform("x", lambda e: F.concat_ws(">", e["src"].cast("string"), e["dst"].cast("string"))), " ").alias("links"))
+
+
+@query("grf05_suffix_paths", f"WITH {EDGE} SELECT a.doc_id, a.pos, a.src AS start, b.dst AS last, b.pos - a.pos + 1 AS length FROM edge a JOIN edge b ON a.doc_id = b.doc_id AND a.pos <= b.pos AND b.pos = (SELECT max(pos) FROM edge c WHERE c.doc_id = a.doc_id)")
+def grf05(t):
+    e = t.edges()
+    last = e.groupBy("doc_id").agg(F.max("pos").alias("end"), F.max_by("dst", "pos").alias("last"))
+    return e.join(last, "doc_id").select("doc_id", "pos", F.col("src").alias("start"), "last", (F.col("end") - F.col("pos") + 1).alias("length"))
+
+
+@query("grf20_introspection", "SELECT * FROM (VALUES ('region', 'r_name', 'string'), ('region', 'r_regionkey', 'int'), ('supplier', 's_acctbal', 'double'), ('supplier', 's_name', 'string'), ('supplier', 's_nationkey', 'int'), ('supplier', 's_suppkey', 'bigint')) v(label, property, type)")
+def grf20(t):
+    rows = [(n, c, kind) for n in ("region", "supplier") for c, kind in getattr(t, n).dtypes]
+    return t.spark.createDataFrame(rows, "label string, property string, type string")
+
+
+@query("grf28_top_leads", f"WITH {MEMBER} SELECT s_name AS lead, count(DISTINCT doc_id) AS docs FROM member JOIN supplier ON person_id = s_suppkey WHERE pos = 0 GROUP BY s_name ORDER BY docs DESC, lead LIMIT 15")
+def grf28(t):
+    m = t.members().where("pos = 0").join(t.supplier.select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("lead")), "person_id")
+    return m.groupBy("lead").agg(F.count_distinct("doc_id").alias("docs")).orderBy(F.col("docs").desc(), "lead").limit(15)
+
+
+@query("htm02_breadcrumbs", r"SELECT page_id, regexp_extract(html, '(?s)<nav>.*?<a href=\"([^\"]*)\"', 1) AS first_href FROM pages")
+def htm02(t):
+    return t.pages.select("page_id", F.coalesce(F.try_element_at(html.breadcrumbs(F.col("html")), F.lit(1))["href"], F.lit("")).alias("first_href"))
+
+
+@query("crw02_discovered_ids", f"WITH {PAGE} SELECT DISTINCT idx AS id FROM page")
+def crw02(t):
+    return t.pages.select(F.explode(F.regexp_extract_all("url", F.lit(r"/[a-z]{2}/(\d+)"), F.lit(1))).alias("i")).select(F.col("i").cast("long").alias("id")).distinct()
+
+
+@query("sim02_enriched_neighbours", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 3) SELECT vec_id, label, round(list_cosine_similarity(cast(embedding AS double[]), cast(e AS double[])), 6) AS score FROM embeddings, q WHERE vec_id <> 3 AND list_cosine_similarity(cast(embedding AS double[]), cast(e AS double[])) >= 0.05 ORDER BY score DESC, vec_id LIMIT 5")
+def sim02(t):
+    near = search.similar_to(t.embeddings, 3, "vec_id", "embedding", 5, 0.05)
+    return near.join(t.embeddings.select("vec_id", "label"), "vec_id").select("vec_id", "label", "score")
+
+
+@query("snk05_edge_ids", f"WITH {EDGE} SELECT doc_id, pos, left(sha256(cast(src AS varchar) || '|' || cast(dst AS varchar) || '|' || cast(doc_id AS varchar) || '|' || cast(pos AS varchar)), 16) AS edge_id FROM edge")
+def snk05(t):
+    return t.edges().select("doc_id", "pos", sinks.edge_id("src", "dst", "doc_id", "pos").alias("edge_id"))
+
+
+@query("snk08_delete_by_source", "SELECT doc_id FROM documents WHERE source IS DISTINCT FROM 'src3'")
+def snk08(t):
+    return sinks.delete_source(t.documents, "src3").select("doc_id")
+
+
+@query("snk12_snk13_graph_round_trip", f"WITH {EDGE} SELECT doc_id, pos, src, dst FROM edge")
+def snk12(t):
+    import uuid
+
+    from ..operators.state import shared_folder
+
+    path = f"{shared_folder(t.spark)}/graph-{uuid.uuid4().hex}"
+    sinks.write_graph({"edges": t.edges()}, path)
+    return sinks.read_graph(t.spark, path)["edges"]
+
+
+@query("src13_source_names", "SELECT * FROM (VALUES ('/a/first_texts.json', 'first'), ('second.json', 'second'), ('results.json', NULL), ('results_x.json', 'results_x')) v(path, source)")
+def src13(t):
+    from ..sources import readers
+
+    paths = ["/a/first_texts.json", "second.json", "results.json", "results_x.json"]
+    return t.spark.createDataFrame([(p,) for p in paths], "path string").select("path", readers.source_of_file(F.col("path")).alias("source"))
