@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Bytes of text that a Python worker takes at once; its numpy temporaries are a small multiple of it.
@@ -128,6 +129,38 @@ def word_cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return joined_cuts(marks, offsets, len(buf))
 
 
+def packed(df: DataFrame, text_col: str = "t") -> DataFrame:
+    """The text column compressed, as z (null stays null), before a shuffle: texts make most of what moves."""
+    rest = [c for c in df.columns if c != text_col]
+    df = df.select(*rest, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = [z.compress(t.as_buffer()) if t.is_valid else None for t in batch.column(text_col).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*rest, "z"])
+
+    return df.mapInArrow(run, df.select(*rest).schema.add("z", "binary"))
+
+
+def unpacked(z: bytes | None) -> bytes:
+    return zstandard.decompress(z) if z is not None else b""
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """The one object that a Python worker keeps between batches: a loaded vocabulary, model or automaton with its memo.
+
+    Workers serve one operator after another; what another one has left is dropped first.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def hex_digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
