@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, Rows, bounded_sample, chunk_sums, flat, fold, prepare, ragged, slices, table, uniques, word_cuts
+from .common import LOWER, Rows, bounded_sample, chunk_sums, flat, fold, held, prepare, ragged, slices, table, uniques, word_cuts
 
-SAMPLE_DOCS, LEAST_DOCS = 2000, 4
+SAMPLE_DOCS, LEAST_DOCS = 1500, 4
 SIZES, DIM, STEPS, RATE = (3, 4, 5, 6, 7), 8, 60, 0.03
 #: Evidence that an empty text has, and the least score for the label 1.
 FLOOR, LABEL_AT = 1e-4, 0.7
@@ -105,23 +105,24 @@ class Model:
         used, word = np.unique(word, return_inverse=True)
         h, ends = grams([words[k] for k in used])
         keys, gram = np.unique(h, return_inverse=True)
+        gram, h = gram.astype(np.int32), None
         # documents of each n-gram, counting each once
         n = np.diff(ends)
         docs_of = np.zeros(len(keys), dtype=np.int64)
-        for part in np.array_split(np.arange(len(texts)), max(1, len(texts) // 200)):
+        for part in np.array_split(np.arange(len(texts)), max(1, len(texts) // 50)):
             a, b = np.searchsorted(doc, [part[0], part[-1] + 1])
             w = word[a:b]
             seen = np.unique(np.repeat(doc[a:b], n[w]) * len(keys) + gram[ragged(ends[:-1][w], n[w])])
             docs_of += np.bincount(seen % len(keys), minlength=len(keys))
         known = docs_of >= LEAST_DOCS
-        number = np.where(known, np.cumsum(known) - 1, known.sum())
+        number = np.where(known, np.cumsum(known) - 1, known.sum()).astype(np.int32)
         self.keys, gram = keys[known], number[gram]  # the last number: no vector
-        held = np.random.default_rng(seed).random(len(texts)) < 0.25  # documents that only set slope and offset
-        fit = ~held if 0 < labels[~held].sum() < (~held).sum() else np.ones(len(texts), dtype=bool)
+        aside = np.random.default_rng(seed).random(len(texts)) < 0.25  # documents that only set slope and offset
+        fit = ~aside if 0 < labels[~aside].sum() < (~aside).sum() else np.ones(len(texts), dtype=bool)
         pairs = fit[doc]
-        self._train(doc[pairs], word[pairs], times[pairs], np.repeat(np.arange(len(used)), n), gram, n, labels, fit, seed)
+        self._train(doc[pairs], word[pairs], times[pairs], np.repeat(np.arange(len(used), dtype=np.int32), n), gram, n, labels, fit, seed)
         evidence = np.bincount(doc, weights=times * self.words([words[k] for k in used])[word, 0], minlength=len(texts)) + FLOOR
-        some = held if len(set(labels[held])) == 2 else np.ones(len(texts), dtype=bool)
+        some = aside if len(set(labels[aside])) == 2 else np.ones(len(texts), dtype=bool)
         self.slope, self.offset = _logistic(np.log(evidence[some]), labels[some])
         return self
 
@@ -136,10 +137,11 @@ class Model:
         t, c = (np.bincount(gram, weights=x[owner], minlength=size + 1)[:size] for x in (bad, good))
         start = np.log((t + 0.5) / (bad.sum() + 1)) - np.log((c + 0.5) / (good.sum() + 1))
         start = np.clip(start, -3, None) * (t + c) / (t + c + 10)
-        p = {"e": np.outer(np.append(start, 0), direction) / (direction @ direction), "w": w, "bias": np.array(-6.0), "slope": np.array(1.0), "offset": np.array(0.0)}
-        p["e"] += rng.standard_normal(p["e"].shape) * 0.01
+        p = {"e": (np.outer(np.append(start, 0), direction) / (direction @ direction)).astype(np.float32), "w": w, "bias": np.array(-6.0), "slope": np.array(1.0), "offset": np.array(0.0)}
+        p["e"] += rng.standard_normal(p["e"].shape, dtype=np.float32) * np.float32(0.01)
         p["e"][-1] = 0
-        m1, m2, least = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(3))
+        m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        least = dict.fromkeys(p, 0.0)
         weight = np.where(labels == 1, 0.5 / max(1, labels[fit].sum()), 0.5 / max(1, (fit & (labels == 0)).sum())) * fit
         for step in range(1, STEPS + 1):
             direction = p["w"][:, 1] - p["w"][:, 0]
@@ -153,10 +155,10 @@ class Model:
             d_direction = p["e"].T @ d_value
             g = {"e": np.outer(d_value, direction), "w": np.stack([-d_direction, d_direction], axis=1), "bias": d_logit.sum(), "slope": (off * log).sum(), "offset": off.sum()}
             for k, v in g.items():
-                v = np.asarray(v, dtype=np.float64)
-                least[k] = np.maximum(least[k], np.abs(v).max() * 0.02) if k == "e" else 1e-8
+                v = np.asarray(v, dtype=p[k].dtype)
+                least[k] = max(least[k], float(np.abs(v).max()) * 0.02) if k == "e" else 1e-8
                 m1[k], m2[k] = 0.9 * m1[k] + 0.1 * v, 0.99 * m2[k] + 0.01 * v * v
-                p[k] = p[k] - RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + least[k])
+                p[k] = (p[k] - RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + least[k])).astype(p[k].dtype)
         self.e, self.w, self.bias = p["e"][:-1], p["w"], float(p["bias"])
 
 
@@ -185,9 +187,6 @@ class Scorer:
         return self.model.score(chunk_sums(buf, offsets, self.memo, self.model.words)[:, 0])
 
 
-_scorers: dict = {}
-
-
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score and predicted of every row."""
     prepare(docs.sparkSession)
@@ -195,11 +194,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     token, kind = uuid.uuid4().hex, docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _scorers:
-            _scorers.clear()
-            _scorers[token] = Scorer(state.value)
+        own = held(token, lambda: Scorer(state.value))
         for rows, buf, offsets in slices(batches, "t"):
-            s = _scorers[token].documents(buf, offsets)
+            s = own.documents(buf, offsets)
             yield pa.RecordBatch.from_arrays([rows.column("d"), pa.array(s), pa.array((s >= LABEL_AT).astype(np.int32))], names=["d", "score", "predicted"])
 
     return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, f"d {kind}, score double, predicted int").withColumnRenamed("d", id_col)
@@ -207,9 +204,13 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def learn(docs: DataFrame, labels: DataFrame, where: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of a bounded sample of the labelled rows where `where` (of the id) holds."""
-    marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
-    rows = docs.where(where).select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(marked, F.col("d") == F.col("i")).select("t", "y")
-    sample = bounded_sample(rows, "y", SAMPLE_DOCS, 2)
+    marked = labels.where(where & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
+    chosen = bounded_sample(marked, "y", SAMPLE_DOCS, 2)
+    if not chosen:
+        return Model()
+    ids = docs.sparkSession.createDataFrame([(r["i"], r["y"]) for r in chosen], marked.schema)
+    rows = docs.join(F.broadcast(ids), docs[id_col] == ids["i"])  # at most 2 * SAMPLE_DOCS ids
+    sample = rows.groupBy("i").agg(F.min("y").alias("y"), F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).orderBy("i").collect()
     return Model().fit([r["t"] for r in sample], np.array([r["y"] for r in sample], dtype=np.float64))
 
 
