@@ -12,7 +12,7 @@ after a leading <s>, turns joined by a line feed. Wherever a text (or another ro
 any number of backslashes after its first character, one more backslash is put there; reading takes one away again.
 
 Defined cases: null texts are empty; a null role is an empty other role; null turns come first, repeated turns in the order
-of role and text; a message whose parent is missing starts a tree; rows without a conversation id form one conversation
+of role and text; a message whose parent is missing starts a tree, replies in a circle are an error; rows without a conversation id form one conversation
 with a null id; an empty table gives no conversations.
 """
 
@@ -79,20 +79,33 @@ def paths(messages: DataFrame, *, tree: str, node: str, parent: str, score: str,
     same = F.col("t").eqNullSafe(F.col("o_t"))
     known = base.select(F.col("t").alias("o_t"), F.col("n").alias("o_n"))
     rooted = base.join(known, same & (F.col("p") == F.col("o_n")), "left").select("t", "n", F.col("o_n").alias("up"), "s")
-    # jump: the ancestor 2**k steps up; depth and total: steps and scores up to it
-    jumps = [keep(rooted.select("t", "n", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("s").alias("total")))]
-    while not jumps[-1].where(F.col("up").isNotNull()).isEmpty():
-        above = jumps[-1].toDF("o_t", "b_n", "b_up", "b_depth", "b_total")
+    # up: the ancestor 2**k steps up; depth and total: steps and scores up to it. Trees that are done leave the rounds, so
+    # that a round costs what the trees of at least 2**k steps hold.
+    state = keep(rooted.select("t", "n", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("s").alias("total")))
+    first, jumps, done = state, [], []
+    while True:
+        active = state.where(F.col("up").isNotNull())
+        if active.isEmpty():
+            done.append(state)
+            break
+        if len(jumps) > 40:  # 2**40 steps up and no root
+            raise ValueError("replies go in a circle")
+        jumps.append(active.select("t", "n", "up"))
+        trees = active.select(F.col("t").alias("o_t")).distinct()
+        done.append(state.join(trees, same, "left_anti"))
+        now = state.join(trees, same, "left_semi")
+        above = now.toDF("o_t", "b_n", "b_up", "b_depth", "b_total")
         on = same & (F.col("up") == F.col("b_n"))
-        jumps.append(keep(jumps[-1].join(above, on, "left").select("t", "n", F.col("b_up").alias("up"), (F.col("depth") + F.coalesce("b_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("b_total", F.lit(0.0))).alias("total"))))
-    parents = jumps[0].where(F.col("up").isNotNull()).select(F.col("t").alias("o_t"), F.col("up").alias("o_n")).distinct()
-    leaves = jumps[-1].join(parents, same & (F.col("n") == F.col("o_n")), "left_anti")
+        state = keep(now.join(above, on, "left").select("t", "n", F.col("b_up").alias("up"), (F.col("depth") + F.coalesce("b_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("b_total", F.lit(0.0))).alias("total")))
+    known = reduce(DataFrame.union, done)
+    parents = first.where(F.col("up").isNotNull()).select(F.col("t").alias("o_t"), F.col("up").alias("o_n")).distinct()
+    leaves = known.join(parents, same & (F.col("n") == F.col("o_n")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("t").orderBy(F.col("total").desc(), "n"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= best).select("t", F.col("n").alias("leaf"), "rank", "depth", F.col("n").alias("at"))
-    for k in range(len(jumps) - 2, -1, -1):
-        j = jumps[k].where(F.col("up").isNotNull()).select(F.col("t").alias("o_t"), F.col("n").alias("o_n"), "up")
+    for k in range(len(jumps) - 1, -1, -1):
+        j = jumps[k].select(F.col("t").alias("o_t"), F.col("n").alias("o_n"), "up")
         above = chosen.join(j, same & (F.col("at") == F.col("o_n"))).select("t", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("at"))
-        chosen = chosen.union(above)
+        chosen = keep(chosen.union(above))  # written: a plan that has itself twice would double every round
     return chosen.select(F.col("t").alias(tree), "leaf", "rank", "depth", F.col("at").alias(node))
 
 
