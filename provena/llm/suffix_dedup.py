@@ -31,10 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, prepare, slices, table
+from .common import materialize, packed, prepare, slices, table, unpacked
 
 LENGTH, GRAM = 400, 64
 #: Contexts of a class that one task orders at once; bytes of text whose anchors are found at once.
@@ -125,22 +124,6 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, f"tid binary, d {kind}, place bigint, lo smallint, hi smallint, cls bigint, ctx bigint")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """tid, d and the text compressed, as it is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = [z.compress(t.as_buffer()) if t.is_valid else None for t in batch.column("t").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("d"), pa.array(texts, pa.binary())], names=["tid", "d", "z"])
-
-    return docs.mapInArrow(run, f"tid binary, d {docs.schema['d'].dataType.simpleString()}, z binary")
-
-
-def _unpacked(z) -> bytes:
-    return zstandard.decompress(z) if z is not None else b""
-
-
 def _contexts(wanted: DataFrame) -> DataFrame:
     """cls, ctx, n, lo, hi and the bytes that the windows of an anchor span; wanted: z and its anchors."""
 
@@ -148,7 +131,7 @@ def _contexts(wanted: DataFrame) -> DataFrame:
         for batch in batches:
             found: dict[str, list] = {k: [] for k in ("cls", "ctx", "n", "lo", "hi", "bytes")}
             for z, own in zip(batch.column("z").to_pylist(), batch.column("own").to_pylist()):
-                text = _unpacked(z)
+                text = unpacked(z)
                 for x in own:
                     for k in ("cls", "ctx", "n", "lo", "hi"):
                         found[k].append(x[k])
@@ -278,14 +261,19 @@ def removal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).withColumn("tid", F.unhex(F.md5(F.coalesce("t", F.lit("")))))
     found = materialize(_anchor_rows(rows.select("tid", "d", "t"), length, gram), "anchors")
-    several = found.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls")
-    groups = materialize(found.join(several, "cls").groupBy("cls", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "d", "place", "lo", "hi")).alias("r")), "contexts")
+    several = materialize(found.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), "classes")
+    # Both sides of the join are read from tables, and the class gets a new name: grouping by it is a shuffle of its own, with
+    # counts made before it, so that the join's skewed partitions (a gram that very many texts have) can be split.
+    joined = found.join(several, "cls").withColumn("class", F.col("cls").bitwiseXOR(F.lit(0).cast("long"))).drop("cls")
+    groups = joined.groupBy("class", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "d", "place", "lo", "hi")).alias("r"))
+    groups = materialize(groups.withColumnRenamed("class", "cls"), "contexts")
     _settle(spark)
     # contexts of classes that have more than one, read from the texts
     sizes = groups.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1")
     own = groups.join(sizes, "cls").groupBy("r.tid", "r.d").agg(F.collect_list(F.struct("cls", "ctx", "n", "r.place", "r.lo", "r.hi", F.lit(length).alias("length"))).alias("own"))
-    packed = _packed(rows.select("tid", "d", "t"))
-    wanted = packed.join(own, (packed["tid"] == own["tid"]) & packed["d"].eqNullSafe(own["d"])).select("z", "own")
+    own = own.withColumnsRenamed({"tid": "o_tid", "d": "o_d"})
+    texts = packed(rows.select("tid", "d", "t"))
+    wanted = texts.join(own, (F.col("tid") == F.col("o_tid")) & F.col("d").eqNullSafe(F.col("o_d"))).select("z", "own")
     contexts = materialize(_contexts(wanted).dropDuplicates(["cls", "ctx"]).withColumns({"c0": F.col("cls"), "x0": F.col("ctx")}), "bytes")
     _settle(spark)
     solved = []
@@ -348,13 +336,13 @@ def removal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             out = []
             for z, m in zip(batch.column("z"), batch.column("marks")):
-                data = _unpacked(z.as_py())
+                data = unpacked(z.as_py())
                 keep, removed, runs = cut(data, m.as_py())
                 out.append((len(data), removed, runs, hashlib.sha256(keep).hexdigest()))
             n, removed, runs, sha = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], names=["d", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    last = _packed(rows.select("tid", "d", "t"))
+    last = packed(rows.select("tid", "d", "t"))
     joined = last.join(marks.withColumnRenamed("tid", "m_tid"), F.col("tid") == F.col("m_tid"), "left").select("d", "z", "marks")
     return joined.mapInArrow(digest, f"d {rows.schema['d'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("d", id_col)
 
