@@ -20,12 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, WHITE, Memo, joined_cuts, prepare, ragged, slices, table, uniques
+from .common import SLICE_BYTES, WHITE, Memo, held, joined_cuts, prepare, ragged, slices, table, uniques
 
 #: Cells of a padded matrix, and remembered pieces of a worker.
 MATRIX_CELLS, MEMO = 1 << 19, 400_000
 NONE = np.int64(1) << 40
-_loaded: dict = {}
 
 
 class Ranks:
@@ -76,12 +75,6 @@ class Ranks:
         return out
 
 
-def load(path: str) -> Ranks:
-    if path not in _loaded:
-        _loaded[path] = Ranks(path)
-    return _loaded[path]
-
-
 def _merge(matrix: np.ndarray, lengths: np.ndarray, ranks: Ranks) -> list[np.ndarray]:
     """Ids of each row of a matrix of byte ids padded with -1."""
     out: list = [None] * len(matrix)
@@ -164,7 +157,7 @@ class Codec:
     """Encodes and decodes with one rank file and one splitting pattern."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.split, self.memo, self.words = load(path), regex.compile(pattern), Memo(MEMO), Memo(MEMO)
+        self.ranks, self.split, self.memo, self.words = Ranks(path), regex.compile(pattern), Memo(MEMO), Memo(MEMO)
 
     def chunks(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids of each chunk: the matches of the pattern in it, each encoded apart."""
@@ -189,13 +182,8 @@ class Codec:
         return r.bytes[ragged(r.starts[ids], r.lengths[ids])].tobytes()
 
 
-_codecs: dict = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return held(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

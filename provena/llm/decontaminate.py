@@ -18,13 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import hex_digest, prepare, table
+from .common import held, prepare, table
 
 WINDOW = 13
 #: An automaton's windows come from at most about this many bytes of items; larger benchmarks are scanned for in blocks.
 BLOCK_BYTES = 8 << 20
 _NORMAL = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_built: dict = {}
 
 
 def words(text: bytes) -> list[bytes]:
@@ -41,15 +40,12 @@ def windows_of(items, window: int) -> dict[str, list]:
     return {k: sorted(v, key=str) for k, v in found.items()}
 
 
-def _automaton(key, patterns: dict[str, list]):
-    if key not in _built:
-        _built.clear()
-        a = ahocorasick.Automaton()
-        for k, (p, ids) in enumerate(patterns.items()):
-            a.add_word(p, (len(p), p.count(" ") - 1, ids))
-        a.make_automaton()
-        _built[key] = a
-    return _built[key]
+def _automaton(patterns: dict[str, list]):
+    a = ahocorasick.Automaton()
+    for p, ids in patterns.items():
+        a.add_word(p, (p.count(" ") - 1, ids))
+    a.make_automaton()
+    return a
 
 
 def _scan(text: bytes, automaton) -> tuple[int, list[tuple[int, int]], set]:
@@ -59,7 +55,7 @@ def _scan(text: bytes, automaton) -> tuple[int, list[tuple[int, int]], set]:
     if w and automaton is not None:
         line = f" {b' '.join(w).decode()} "
         ends = None
-        for end, (_, n, ids) in automaton.iter(line):
+        for end, (n, ids) in automaton.iter(line):
             if ends is None:
                 ends = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32) == 32)
             runs.append((int(np.searchsorted(ends, end)) - n, n))
@@ -99,7 +95,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             automaton = None
             for batch in batches:
                 if automaton is None:
-                    automaton = _automaton(token, patterns.value) if patterns.value else False
+                    automaton = held(token, lambda: _automaton(patterns.value)) if patterns.value else False
                 texts = batch.column("t").cast(pa.binary()).to_pylist()
                 before, known = batch.column("runs").to_pylist(), batch.column("items").to_pylist()
                 out: dict[str, list] = {"n_words": [], "n_hit": [], "spans": [], "runs": [], "items": []}

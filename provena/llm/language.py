@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, Rows, bounded_sample, chunk_sums, flat, fold, prepare, slices, table, uniques, word_cuts
+from .common import LOWER, Rows, bounded_sample, chunk_sums, flat, fold, held, prepare, slices, table, uniques, word_cuts
 
 #: Bounds of the training sample.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 12_000
@@ -179,21 +179,15 @@ class Labeller:
         return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
 
 
-_labellers: dict = {}
-
-
 def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id (and the columns in keep), lang_pred and score of every row."""
     prepare(docs.sparkSession)
     state = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers, whatever the input
     token = uuid.uuid4().hex
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or [id_col])]).alias("d"), F.col(text_col).alias("t"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or [id_col])]).alias("d"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _labellers:
-            _labellers.clear()
-            _labellers[token] = Labeller(state.value)
-        own = _labellers[token]
+        own = held(token, lambda: Labeller(state.value))
         langs = [*own.net.langs, "und"]
         for rows, buf, offsets in slices(batches, "t"):
             if own.net.langs:
@@ -204,8 +198,8 @@ def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
                 best, score = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
             yield pa.RecordBatch.from_arrays([rows.column("d"), pa.array([langs[k] for k in best]), pa.array(np.minimum(score, 1.0))], names=["d", "lang_pred", "score"])
 
-    schema = held.select("d").schema.add("lang_pred", "string").add("score", "double")
-    return held.mapInArrow(run, schema).select("d.*", "lang_pred", "score")
+    schema = carried.select("d").schema.add("lang_pred", "string").add("score", "double")
+    return carried.mapInArrow(run, schema).select("d.*", "lang_pred", "score")
 
 
 def learn(docs: DataFrame, where: Column, *, text_col: str = "text", lang_col: str = "lang") -> Network:

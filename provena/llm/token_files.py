@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import SLICE_BYTES, Memo, materialize, prepare, scratch, slices, table, uniques, word_cuts
+from .common import SLICE_BYTES, Memo, held, materialize, prepare, scratch, slices, table, uniques, word_cuts
 
 #: Fixed values of the coding: (ids in a word, bits of each), by selector.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15)]
@@ -174,13 +174,8 @@ class Encoder:
         return ids, ends[np.searchsorted(cuts, offsets)]
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("tokens", path), lambda: Encoder(path))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
