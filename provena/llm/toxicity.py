@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import LOWER, Rows, bounded_sample, chunk_sums, flat, fold, held, prepare, ragged, slices, table, uniques, word_cuts
 
-SAMPLE_DOCS, LEAST_DOCS = 1500, 4
+SAMPLE_DOCS, LEAST_DOCS = 1000, 4
 SIZES, DIM, STEPS, RATE = (3, 4, 5, 6, 7), 8, 60, 0.03
 #: Evidence that an empty text has, and the least score for the label 1.
 FLOOR, LABEL_AT = 1e-4, 0.7
