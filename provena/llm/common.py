@@ -265,7 +265,7 @@ def fold(id_: Column, parts: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, by: str, most: int, seed: int) -> list:
-    """At most `most` rows of each group, the first by a hash of all columns.
+    """At most `most` rows of each group, the first by a hash of all columns. Rows have to be distinct: copies share one hash.
 
     Groups are counted first, and only rows under a hash bound that leaves about twice as many are ranked: however large the
     input, a task sees a few times `most` rows of a group.

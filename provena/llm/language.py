@@ -3,8 +3,8 @@
 The network reads a word's bytes (A-Z lower-cased) from both ends, labels every position with probabilities of the languages,
 and a document's probability is the mean over all positions of all its words that have a letter. States start anew at each
 word, so a word has the same labels wherever it stands and each distinct one of a slice is run once. It is trained by
-backpropagation through time on words of a bounded sample: at most SAMPLE_DOCS documents of a language and SAMPLE_WORDS of
-their words, with the document's language as the label of every position.
+backpropagation through time on words of a bounded sample: at most SAMPLE_DOCS distinct texts of a language and SAMPLE_WORDS
+of their words, with the document's language as the label of every position.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; words of over MOST bytes are read in pieces; ties
 go to the first language in order of name; without any labelled text all are `und`; repeated rows each give a row.
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, Rows, bounded_sample, chunk_sums, flat, fold, held, prepare, slices, table, uniques, word_cuts
+from .common import LOWER, Rows, bounded_sample, chunk_sums, flat, fold, held, materialize, prepare, slices, table, uniques, word_cuts
 
 #: Bounds of the training sample.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 12_000
@@ -203,9 +203,18 @@ def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
 
 
 def learn(docs: DataFrame, where: Column, *, text_col: str = "text", lang_col: str = "lang") -> Network:
-    """A network of a bounded sample of the rows where `where` holds."""
+    """A network of a bounded sample of the distinct texts of each language, of the rows where `where` holds.
+
+    Only hashes of texts are shuffled to tell copies; the texts of the chosen ones are read afterwards.
+    """
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    return train([(r["t"], r["l"]) for r in bounded_sample(rows, "l", SAMPLE_DOCS, 1)])
+    rows = rows.withColumn("k", F.xxhash64("t"))
+    chosen = bounded_sample(materialize(rows.select("k", "l").distinct(), "languages"), "l", SAMPLE_DOCS, 1)
+    if not chosen:
+        return train([])
+    keys = docs.sparkSession.createDataFrame([(r["k"], r["l"]) for r in chosen], rows.select("k", "l").schema)
+    sample = rows.join(F.broadcast(keys), ["k", "l"])  # at most SAMPLE_DOCS keys of a language
+    return train([(r["t"], r["l"]) for r in sample.groupBy("k", "l").agg(F.min("t").alias("t")).orderBy("l", "k").collect()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

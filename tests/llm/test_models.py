@@ -21,6 +21,22 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.98
 
 
+def test_language_sample_of_many_copies(spark, monkeypatch):
+    """Groups of copies count as one text: no language is lost, and none is learnt from a single text."""
+    texts = [(f"wort{k} und nicht", "de") for k in range(10)] + [(f"word{k} and not", "en") for k in range(500)] + [("copied words", "en")]
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(texts)], "doc_id long, text string, lang string")
+    copies = F.when(F.col("lang") == "de", 3000).when(F.col("text") == "copied words", 2000).otherwise(1)
+    seen = []
+    monkeypatch.setattr(language, "train", lambda sample: seen.extend(sample))
+    for word in ("", "x", "y", "z"):
+        seen.clear()
+        docs = rows.select("doc_id", F.concat("text", F.lit(f" {word}")).alias("text"), "lang", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+        language.learn(docs, F.lit(True))
+        assert len(set(seen)) == len(seen)
+        assert sorted(t for t, own in seen if own == "de") == sorted(f"{t} {word}" for t, own in texts if own == "de")
+        assert sum(own == "en" for _, own in seen) == language.SAMPLE_DOCS
+
+
 def test_language_gradients():
     net = language.Network(["a", "b", "c"])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
