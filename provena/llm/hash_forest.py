@@ -4,7 +4,9 @@ Distinct vectors are dealt to blocks of about BLOCK_ROWS. In a block each tree g
 a random rotation of the tree, a 7-bit symbol for the largest coordinate by size and its sign, five times over, packed in a
 sorted array of 35-bit numbers. A query descends each tree to its longest prefix match, then ascends in all trees at once, bit
 by bit, until the prefix's ranges hold CANDIDATES entries in all; the vectors in those ranges are the candidates, whose inner
-products are computed exactly in double precision. Every query meets every block once, in a stream: a block's task holds
+products are computed exactly in double precision. Hash strings know directions only. So every vector joins the candidates
+that is long enough to reach the (k + 1)-th best score found at the (k + 1)-th best cosine found: any other one would need a
+direction closer than those, which is what the trees look for. Among vectors of one length none joins. Every query meets every block once, in a stream: a block's task holds
 its vectors and a batch of queries. Blocks are about the same size at every scale, so is the share of a block that is compared.
 
 Copies of a vector are one entry with its smallest ids, k + 1 of them, which is all that k results can need; no id is lost
@@ -56,7 +58,8 @@ class Forest:
 
     def __init__(self, x: np.ndarray, trees: int = TREES):
         self.rotations = _rotations(x.shape[1], trees)
-        unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        self.norms = np.linalg.norm(x, axis=1)
+        unit = (x / self.norms[:, None]).astype(np.float32)
         hashes = [strings(unit, r) for r in self.rotations]
         self.order = [h.argsort(kind="stable") for h in hashes]
         self.sorted = [h[o] for h, o in zip(hashes, self.order)]
@@ -94,6 +97,17 @@ class Forest:
             out.append(np.flatnonzero(seen))
         return out
 
+    def longer(self, places: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+        """Places of the vectors, not among the candidates, that their length may bring among the k + 1 best at a wider angle."""
+        bound = 0.0  # all, where candidates are few or none is within a right angle
+        if len(places) > k:
+            score, cosine = (np.partition(a, len(a) - k - 1)[-k - 1] for a in (scores, scores / self.norms[places]))
+            if score > 0 and cosine > 0:
+                bound = score / cosine * (1 + 1e-6)  # rounding of unit vectors is no length
+        new = self.norms > bound
+        new[places] = False
+        return np.flatnonzero(new)
+
 
 def _usable(v: Column) -> Column:
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -107,6 +121,9 @@ def _search(rows: DataFrame, k: int, trees: int, least: int) -> DataFrame:
         found = []
         for q, places in zip(queries, forest.candidates(queries, least)):
             scores = np.einsum("ij,j->i", x[places], q)
+            more = forest.longer(places, scores, k)
+            if len(more):
+                places, scores = np.concatenate([places, more]), np.concatenate([scores, np.einsum("ij,j->i", x[more], q)])
             if len(places) > 4 * k:
                 cut = np.partition(scores, len(scores) - k - 1)[-k - 1]
                 places, scores = places[scores >= cut], scores[scores >= cut]

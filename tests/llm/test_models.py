@@ -144,6 +144,19 @@ def test_forest_recall_in_a_full_block():
     assert np.mean([len(c) for c in found]) < 0.5 * len(x)
 
 
+@pytest.mark.parametrize("sigma", [0.3, 0.6, 1.5])
+def test_neighbours_of_mixed_norms(spark, sigma):
+    """The largest inner products, where long vectors at wider angles are neighbours."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((hash_forest.BLOCK_ROWS, 64))
+    x *= np.exp(sigma * rng.standard_normal(len(x)))[:, None] / np.linalg.norm(x, axis=1, keepdims=True)
+    queries = list(range(0, len(x), 200))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = hash_forest.nearest(vectors, F.col("id") % 200 == 0).collect()
+    want = {i: [(-s, int(j)) for s, j in sorted(zip(x @ x[i], range(len(x))), reverse=True) if j != i][:20] for i in queries}
+    assert {r["query_id"] for r in found} == set(queries) and recall(found, want) >= 0.9
+
+
 def test_neighbours_defined_cases(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(60)]
