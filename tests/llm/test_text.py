@@ -243,6 +243,24 @@ def test_common_subsequence():
         assert len(kept) == best[-1][-1] and all(x in rest for x in kept)
 
 
+def test_common_subsequence_of_long_lists():
+    b = list(range(9000))
+    assert main_text.common_subsequence(b[3000:] + b[:3000], b) == [True] * 6000 + [False] * 3000
+    assert sum(main_text.common_subsequence([1, 2] * 5000, [2, 1] * 4000)) == 8000
+    assert sum(main_text.common_subsequence(b, b[8000:] + b[:500])) == 1000
+
+
+def test_common_subsequence_rows_made_again(monkeypatch):
+    """The same answer whether all bit rows are held or made again."""
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(40))] for _ in range(2))
+        whole = main_text.common_subsequence(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(main_text, "ALIGN", 3)
+            assert main_text.common_subsequence(a, b) == whole
+
+
 def test_page_differencing(spark):
     plain = lambda own, menu="Home": f"<div>{menu}</div><p>{own}</p><div>Imprint</div>"
     rows = [(1, "http://h/x/1", plain("one")), (2, "http://h/x/2", plain("two")), (3, "http://h/y/1", plain("three", "Other")), (4, "http://k/1", plain("alone")), (5, None, plain("none")), (6, "http://h/x/2", None), (7, "http://k/2", PAGE), (1, "http://h/x/1", plain("one"))]
