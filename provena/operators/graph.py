@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -93,8 +95,10 @@ def visual_nodes(members: DataFrame, doc: str, chain: str, pos: str, name: str,
     )
 
 
-def crawl(links: DataFrame, seeds: DataFrame, max_ids: int | None = None, rounds: int = 20) -> DataFrame:
-    """Breadth-first discovery over links (src, dst): id, discovered_from, round. max_ids ends it after the round that reaches it.
+def crawl(links: DataFrame, seeds: DataFrame, max_ids: int | None = None, rounds: int | None = None) -> DataFrame:
+    """Breadth-first discovery over links (src, dst): id, discovered_from, round, until a round finds nothing new.
+
+    max_ids ends it after the round that reaches it, rounds after so many; neither is set by default.
 
     Each round is written to the shared checkpoint folder, so that lineage stays short and lost executors cost one round.
     """
@@ -102,7 +106,9 @@ def crawl(links: DataFrame, seeds: DataFrame, max_ids: int | None = None, rounds
 
     seen = materialize(seeds.select(F.col("id"), F.lit(None).cast(seeds.schema["id"].dataType).alias("discovered_from"), F.lit(0).alias("round")).distinct(), "crawl")
     front = seen
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
+        if rounds is not None and k > rounds:
+            break
         new = front.join(links, front["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("discovered_from"))
         new = materialize(new.join(seen.select("id"), "id", "left_anti").select("id", "discovered_from", F.lit(k).alias("round")), "crawl")
         if new.isEmpty():

@@ -92,6 +92,14 @@ def test_crawl(spark):
     assert got == {(1, None, 0), (2, 1, 1), (3, 2, 2), (4, 2, 2)}
 
 
+def test_crawl_of_a_long_chain(spark):
+    """Discovery ends with the frontier; rounds and max_ids end it where they are given."""
+    links = spark.range(1, 24).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    seed = spark.range(1, 2)
+    assert sorted((r["id"], r["round"]) for r in graph.crawl(links, seed).collect()) == [(k + 1, k) for k in range(24)]
+    assert graph.crawl(links, seed, rounds=2).count() == 3 and graph.crawl(links, seed, max_ids=3).count() == 3
+
+
 def test_status_windows(spark):
     log = spark.createDataFrame([("k1", 1, "failed"), ("k1", 2, "success"), ("k1", 3, "failed"), ("k2", 4, "failed")], "k string, seq int, status string")
     keys = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "k string")
