@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -32,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only where that is unset (tests), one is set here."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; only where that is unset and all is one process (tests), one is set here."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file:///tmp/checkpoints/provena"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -59,11 +62,40 @@ def discard(df: DataFrame, path: str) -> None:
     _remove(df.sparkSession, path)
 
 
+#: While a table is written, Spark deletes the shuffle files of that job as soon as it ends: nothing else reads them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df once to the shared folder and read it back: short lineage that survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, scratch(df.sparkSession, what))
+
+
+class Steps:
+    """The tables that one operator writes on its way, dropped as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        self.paths[what] = scratch(self.spark, what)
+        return _write(df, self.paths[what])
+
+    def drop(self, *names: str) -> None:
+        for what in names:
+            if what in self.paths:
+                _remove(self.spark, self.paths.pop(what))
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,29 +1,35 @@
-"""Removal of long repeated byte strings, by a column-wise suffix order of many contexts.
+"""Removal of long repeated strings, by a column-wise suffix order of many contexts.
 
-Two equal strings of `length` bytes have the same minimizer: the smallest hash among their GRAM-byte grams, the leftmost of
-equals. So every window of a text is laid to its minimizer, the anchor, and windows can only be equal where their anchors'
-grams are equal and lie at the same place in both. The steps:
+A text is a sequence of symbols: its UTF-8 bytes, or its words (A-Z lower-cased, each as a 64-bit number). Two equal strings
+of `length` symbols have the same minimizer: the smallest hash among their grams of `gram` symbols, the leftmost of equals.
+So every window of a text is laid to its minimizer, the anchor, and windows can only be equal where their anchors' grams are
+equal and lie at the same place in both. The steps:
 
 1. anchors: one pass over the texts gives each anchor with the range of windows laid to it, a hash of its gram (its class)
-   and one of the bytes that these windows span (its context);
-2. classes of one anchor go; equal contexts of a class become one, with their number: their windows repeat by that alone;
+   and one of the symbols that these windows span (its context);
+2. classes of one anchor go; equal contexts of a class become one, with the least and the greatest of their owners: where
+   these differ, their windows repeat by that alone;
 3. classes of several contexts are ordered. What follows the anchor and (read backwards) what precedes it are columns of
-   8-byte symbols, and as in multi-document construction of the Burrows-Wheeler transform one symbol of each document is
-   inserted per round, last column first: the symbols in the present order are the column's part of the transform, a stable
-   sort by them gives the next order, and common prefixes follow from the smallest of those passed over. Columns, orders
-   and common prefixes go through temporary files that are read and written in sequence. A window of s bytes before the
-   anchor is repeated where a context shares the group of common prefix >= length - s after it and >= s before it;
+   8-byte symbols, and as in column-wise construction of the Burrows-Wheeler transform one symbol of each document is
+   inserted per round, last column first: a stable sort by the round's symbols puts each context's longer suffix in place,
+   and common prefixes follow from the smallest of those passed over. Only the newest suffix of a context keeps a place, so
+   the transform of the older ones isn't kept. Columns, orders and common prefixes go through temporary files that are read
+   and written in sequence. A window of s symbols before the anchor is repeated where contexts of two owners share the group
+   of common prefix >= length - s after it and >= s before it;
 4. classes of over CLASS_CAP contexts are first narrowed: windows are dealt to slices by s, and a slice's class includes
-   the bytes that all its windows hold; slices of a single s have equal windows only, which are counted;
-5. each text's repeated windows are joined to it and their bytes removed.
+   the symbols that all its windows hold; slices of a single s have equal windows only, whose owners are compared;
+5. each text's repeated windows are joined to it and removed.
+
+An owner is the place itself, so that any second occurrence repeats a string, or with across=True the row, so that strings
+have to stand in two rows.
 
 Defined cases: null texts are empty; texts shorter than `length` keep all; strings never cross rows; a repeated row or text
-repeats all its windows; overlapping occurrences count; no rows give no rows.
+repeats all its windows; overlapping occurrences count; no rows give no rows; any other columns, whatever their names, are
+carried along with text=True.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -33,11 +39,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, packed, prepare, slices, table, unpacked
+from .common import LOWER, SPACE, Steps, packed, prepare, slices, table, unpacked
 
-LENGTH, GRAM = 400, 64
-#: Contexts of a class that one task orders at once; bytes of text whose anchors are found at once.
-CLASS_CAP, PIECE = 8192, 8 << 20
+#: Symbols of a window and of a gram, by unit; the words of a window are the shortest passage of over 50 words.
+LENGTH, GRAM = {"bytes": 400, "words": 51}, {"bytes": 64, "words": 8}
+#: Bytes of a symbol.
+WIDTH = {"bytes": 1, "words": 8}
+#: Contexts of a class that one task orders at once, contexts that it orders together, symbols of text whose anchors are found at once.
+CLASS_CAP, GATHER, PIECE = 1024, 8192, 8 << 20
 #: Widths of s by which classes over the cap are narrowed.
 NARROW = (16, 1)
 _TABLE = np.random.default_rng(20240).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,18 +54,18 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the gram at each place, from prefix sums of a polynomial modulo 2**64."""
-    n = len(buf)
-    power = np.full(n + 1, _ODD, dtype=np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    power = np.full(n, base, dtype=np.uint64)
+    power[:1] = 1
+    return np.cumprod(power, out=power)
+
+
+def _hashes(symbols: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    """A hash of the symbols from each start to its end, from prefix sums of a polynomial modulo 2**64."""
+    n = len(symbols)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[buf] * power[:n], out=sums[1:])
-    back = np.full(n + 1, _INVERSE, dtype=np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    h = (sums[gram:] - sums[: n + 1 - gram]) * back[: n + 1 - gram]
+    np.cumsum((_TABLE[symbols] if symbols.dtype == np.uint8 else symbols) * _powers(_ODD, n), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _powers(_INVERSE, n + 1)[starts]
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
@@ -64,6 +73,36 @@ def _gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
+    return _hashes(symbols, slice(0, len(symbols) + 1 - gram), slice(gram, None))
+
+
+def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last; words end at white space and at the edges of texts."""
+    real = ~SPACE[buf]
+    begin, stop = real.copy(), real.copy()
+    begin[1:] &= ~real[:-1]
+    stop[:-1] &= ~real[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(buf))]
+    begin[edges] = real[edges]
+    stop[edges - 1] = real[edges - 1]
+    return np.flatnonzero(begin), np.flatnonzero(stop) + 1
+
+
+def _symbols(buf: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the texts in buf, and the texts' offsets in them."""
+    if unit == "bytes":
+        return buf, offsets
+    starts, ends = words(buf, offsets)
+    out, k = np.zeros(len(starts), dtype=np.uint64), 0
+    while k < len(starts):  # about PIECE bytes of words at a time
+        m = max(k + 1, int(np.searchsorted(ends, starts[k] + PIECE, side="right")))
+        a = starts[k]
+        out[k:m] = _hashes(LOWER[buf[a : ends[m - 1]]], starts[k:m] - a, ends[k:m] - a) | np.uint64(1)
+        k = m
+    return out, np.searchsorted(starts, offsets)
+
+
 def _window_minimum(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive values, by running minima from both ends of blocks."""
     n = len(x)
@@ -75,7 +114,7 @@ def _window_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Text number, place in the text, and smallest and largest number of bytes before it of the windows laid to it."""
     out = []
     doc_of = np.flatnonzero(np.diff(offsets) >= length)
@@ -108,37 +147,52 @@ def _hash(data) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """tid, place, lo, hi, cls, ctx of all anchors."""
+def _anchor_rows(docs: DataFrame, length: int, gram: int, unit: str, across: bool) -> DataFrame:
+    """tid, d, owner, place, lo, hi, cls, ctx of all anchors. An owner's number holds the partition's: the table is written once, then read."""
+    w = WIDTH[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        owned = TaskContext.get().partitionId() << 40
         for rows, buf, offsets in slices(batches, "t", 1 << 20):
-            doc, place, lo, hi = anchors(buf, offsets, length, gram)
-            view, at = memoryview(np.ascontiguousarray(buf)), offsets[doc] + place
-            cls = [_hash(view[a : a + gram]) for a in at.tolist()]
-            ctx = [_hash(view[a - h : a - l + length]) ^ (h << 20 | l) for a, l, h in zip(at.tolist(), lo.tolist(), hi.tolist())]
-            arrays = [rows.column("tid").take(pa.array(doc)), rows.column("d").take(pa.array(doc)), pa.array(place), pa.array(lo, pa.int16()), pa.array(hi, pa.int16()), pa.array(cls, pa.int64()), pa.array(ctx, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["tid", "d", "place", "lo", "hi", "cls", "ctx"])
+            symbols, offsets = _symbols(buf, offsets, unit)
+            doc, place, lo, hi = anchors(symbols, offsets, length, gram)
+            view, at = memoryview(np.ascontiguousarray(symbols)).cast("B"), offsets[doc] + place
+            owner = owned + (doc if across else np.arange(len(doc)))
+            owned += rows.num_rows if across else len(doc)
+            cls = [_hash(view[a * w : (a + gram) * w]) for a in at.tolist()]
+            ctx = [_hash(view[(a - h) * w : (a - l + length) * w]) ^ (h << 20 | l) for a, l, h in zip(at.tolist(), lo.tolist(), hi.tolist())]
+            arrays = [rows.column("tid").take(pa.array(doc)), rows.column("d").take(pa.array(doc)), pa.array(owner), pa.array(place), pa.array(lo, pa.int16()), pa.array(hi, pa.int16()), pa.array(cls, pa.int64()), pa.array(ctx, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["tid", "d", "owner", "place", "lo", "hi", "cls", "ctx"])
 
     kind = docs.schema["d"].dataType.simpleString()
-    return docs.mapInArrow(run, f"tid binary, d {kind}, place bigint, lo smallint, hi smallint, cls bigint, ctx bigint")
+    return docs.mapInArrow(run, f"tid binary, d {kind}, owner bigint, place bigint, lo smallint, hi smallint, cls bigint, ctx bigint")
+
+
+_MARKS = "array<struct<place:bigint,lo:smallint,hi:smallint,parts:array<struct<lo:smallint,hi:smallint,bits:binary>>>>"
+_CONTEXT = [("cls", pa.int64()), ("ctx", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int16()), ("hi", pa.int16()), ("bytes", pa.binary())]
+_CONTEXT_SQL = "cls bigint, ctx bigint, a bigint, b bigint, lo smallint, hi smallint, bytes binary"
 
 
-def _contexts(wanted: DataFrame) -> DataFrame:
-    """cls, ctx, n, lo, hi and the bytes that the windows of an anchor span; wanted: z and its anchors."""
+def _contexts(wanted: DataFrame, length: int, unit: str) -> DataFrame:
+    """cls, ctx, a, b, lo, hi and the symbols, as bytes, that the windows of an anchor span; wanted: z and its anchors."""
+    w = WIDTH[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, list] = {k: [] for k in ("cls", "ctx", "n", "lo", "hi", "bytes")}
-            for z, own in zip(batch.column("z").to_pylist(), batch.column("own").to_pylist()):
-                text = unpacked(z)
-                for x in own:
-                    for k in ("cls", "ctx", "n", "lo", "hi"):
+            found: dict[str, list] = {k: [] for k, _ in _CONTEXT}
+            for z, own in zip(batch.column("z"), batch.column("own")):
+                data = unpacked(z.as_py())
+                if unit == "words":
+                    data = _symbols(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), unit)[0].tobytes()
+                for x in own.as_py():
+                    for k in ("cls", "ctx", "a", "b", "lo", "hi"):
                         found[k].append(x[k])
-                    found["bytes"].append(text[x["place"] - x["hi"] : x["place"] - x["lo"] + x["length"]])
-            yield pa.RecordBatch.from_pydict(found, schema=pa.schema([("cls", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("lo", pa.int16()), ("hi", pa.int16()), ("bytes", pa.binary())]))
+                    found["bytes"].append(data[(x["place"] - x["hi"]) * w : (x["place"] - x["lo"] + length) * w])
+            yield pa.RecordBatch.from_pydict(found, schema=pa.schema(_CONTEXT))
 
-    return wanted.mapInArrow(run, "cls bigint, ctx bigint, n bigint, lo smallint, hi smallint, bytes binary")
+    return wanted.mapInArrow(run, _CONTEXT_SQL)
 
 
 def column_order(columns: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +202,7 @@ def column_order(columns: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray,
     """
     n, m = columns.shape
     same = np.concatenate([[False], classes[1:] == classes[:-1]])
-    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as transform, tempfile.TemporaryFile() as state:
+    with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as state:
         for j in range(m - 1, -1, -1):
             symbols.write(np.ascontiguousarray(columns[:, j]).tobytes())
         np.arange(n, dtype=np.int64).tofile(state)
@@ -159,7 +213,6 @@ def column_order(columns: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray,
             symbol = np.frombuffer(symbols.read(8 * n), dtype=np.uint64)
             order, prefix = np.frombuffer(state.read(8 * n), dtype=np.int64), np.frombuffer(state.read(8 * n), dtype=np.int64)
             c, group = symbol[order], classes[order]
-            transform.write(c.tobytes())
             to = np.lexsort((c, group))  # stable: equal symbols keep the order of their suffixes
             equal = np.concatenate([[False], (c[to][1:] == c[to][:-1]) & (group[to][1:] == group[to][:-1])])
             after = np.full(n, -1, dtype=np.int64)
@@ -186,12 +239,15 @@ def _matrix(parts: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), dtype=">u8").reshape(len(parts), -1).astype(np.uint64)
 
 
-def repeated_windows(cls: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """rows x (1 + largest hi) booleans: the window with s bytes before the anchor occurs at least twice in the class. Rows come by ascending class."""
-    right = [t[h:] for t, h in zip(texts, hi.tolist())]
-    left = [t[:h][::-1] for t, h in zip(texts, hi.tolist())]
-    order_r, prefix_r = column_order(_matrix(right, int((length - lo).max())), cls)
-    order_l, prefix_l = column_order(_matrix(left, int(hi.max())), cls)
+def repeated_windows(cls: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: list[bytes], length: int, w: int = 1) -> np.ndarray:
+    """rows x (1 + largest hi) booleans: the window with s symbols (of w bytes) before the anchor has two owners in the class.
+
+    a, b: least and greatest owner of each context. Rows come by ascending class.
+    """
+    right = [t[h * w :] for t, h in zip(texts, hi.tolist())]
+    left = [t[: h * w][::-1] for t, h in zip(texts, hi.tolist())]
+    order_r, prefix_r = column_order(_matrix(right, int((length - lo).max()) * w), cls)
+    order_l, prefix_l = column_order(_matrix(left, int(hi.max()) * w), cls)
     rank_r, rank_l = np.empty_like(order_r), np.empty_like(order_l)
     rank_r[order_r] = rank_l[order_l] = np.arange(len(cls))
     out = np.zeros((len(cls), int(hi.max()) + 1), dtype=bool)
@@ -199,18 +255,20 @@ def repeated_windows(cls: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndar
         active = np.flatnonzero((lo <= s) & (s <= hi))
         if not len(active):
             continue
-        key = np.cumsum(prefix_r < length - s)[rank_r[active]] * (len(cls) + 1) + np.cumsum(prefix_l < s)[rank_l[active]]
-        _, group = np.unique(key, return_inverse=True)
-        out[active, s] = np.bincount(group, weights=np.minimum(n[active], 2))[group] >= 2
+        key = np.cumsum(prefix_r < (length - s) * w)[rank_r[active]] * (len(cls) + 1) + np.cumsum(prefix_l < s * w)[rank_l[active]]
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        two = np.minimum.reduceat(a[active][order], new) != np.maximum.reduceat(b[active][order], new)
+        out[active[order], s] = np.repeat(two, np.diff(np.append(new, len(order))))
     return out
 
 
-def _ordered(contexts: DataFrame, length: int) -> DataFrame:
+def _ordered(contexts: DataFrame, length: int, w: int) -> DataFrame:
     """cls, ctx, lo, hi, bits: one bit for each s from lo on, of contexts that have a repeated window."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        cls, n, lo, hi = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("cls", "n", "lo", "hi"))
-        hit = repeated_windows(cls, n, lo, hi, [r["bytes"] for r in rows], length)
+        cls, a, b, lo, hi = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("cls", "a", "b", "lo", "hi"))
+        hit = repeated_windows(cls, a, b, lo, hi, [r["bytes"] for r in rows], length, w)
         out = [(r["c0"], r["x0"], r["lo"], r["hi"], np.packbits(h[r["lo"] : r["hi"] + 1]).tobytes()) for r, h in zip(rows, hit) if h.any()]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary()))], names=["cls", "ctx", "lo", "hi", "bits"])
 
@@ -219,7 +277,7 @@ def _ordered(contexts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 held += batch.slice(k, 1000).to_pylist()
-                if len(held) >= CLASS_CAP:  # whole classes: the last may go on
+                if len(held) >= GATHER:  # whole classes: the last may go on
                     last = held[-1]["cls"]
                     whole = next((i for i in range(len(held) - 1, -1, -1) if held[i]["cls"] != last), -1) + 1
                     if whole:
@@ -231,121 +289,145 @@ def _ordered(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "cls bigint, ctx bigint, lo smallint, hi smallint, bits binary")
 
 
-def _narrowed(contexts: DataFrame, width: int, length: int) -> DataFrame:
+def _narrowed(contexts: DataFrame, width: int, length: int, w: int) -> DataFrame:
     """Each context dealt to slices of `width` values of s; equal parts of a slice's class become one row for each context that they came from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                for a in range(r["lo"] // width, r["hi"] // width + 1):
-                    lo, hi = max(r["lo"], a * width), min(r["hi"], (a + 1) * width - 1)
-                    part = r["bytes"][r["hi"] - hi : r["hi"] - lo + length]
-                    core = r["bytes"][max(0, r["hi"] - a * width) : r["hi"] - (a + 1) * width + 1 + length]
-                    rows.append((_hash(b"%d,%d;" % (r["cls"], a) + core), _hash(part) ^ (hi << 20 | lo), r["n"], lo, hi, part, r["c0"], r["x0"]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=["cls", "ctx", "n", "lo", "hi", "bytes", "c0", "x0"])
-
-    return contexts.mapInArrow(run, "cls bigint, ctx bigint, n bigint, lo smallint, hi smallint, bytes binary, c0 bigint, x0 bigint")
-
-
-def _settle(spark) -> None:
-    """Shuffle files of finished steps go when their plans are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def removal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = CLASS_CAP, text: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of every row, or with text=True all columns with the text that is kept (invalid bytes at a cut character's edge are dropped)."""
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).withColumn("tid", F.unhex(F.md5(F.coalesce("t", F.lit("")))))
-    found = materialize(_anchor_rows(rows.select("tid", "d", "t"), length, gram), "anchors")
-    several = materialize(found.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), "classes")
+                for k in range(r["lo"] // width, r["hi"] // width + 1):
+                    lo, hi = max(r["lo"], k * width), min(r["hi"], (k + 1) * width - 1)
+                    part = r["bytes"][(r["hi"] - hi) * w : (r["hi"] - lo + length) * w]
+                    core = r["bytes"][max(0, r["hi"] - k * width) * w : max(0, r["hi"] - (k + 1) * width + 1 + length) * w]
+                    rows.append((_hash(b"%d,%d;" % (r["cls"], k) + core), _hash(part) ^ (hi << 20 | lo), r["a"], r["b"], lo, hi, part, r["c0"], r["x0"]))
+            kinds = [*_CONTEXT, ("c0", pa.int64()), ("x0", pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, (_, t) in enumerate(kinds)], names=[k for k, _ in kinds])
+
+    return contexts.mapInArrow(run, f"{_CONTEXT_SQL}, c0 bigint, x0 bigint")
+
+
+def _repeats(rows: DataFrame, steps: Steps, length: int, gram: int, unit: str, across: bool, cap: int) -> DataFrame:
+    """tid and marks: place, lo, hi and parts (bits of the windows; null: all) of each text's anchors with repeated windows. rows: tid, d (the id), t."""
+    w = WIDTH[unit]
+    found = steps.write(_anchor_rows(rows, length, gram, unit, across), "anchors")
+    several = steps.write(found.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), "classes")
     # Both sides of the join are read from tables, and the class gets a new name: grouping by it is a shuffle of its own, with
     # counts made before it, so that the join's skewed partitions (a gram that very many texts have) can be split.
     joined = found.join(several, "cls").withColumn("class", F.col("cls").bitwiseXOR(F.lit(0).cast("long"))).drop("cls")
-    groups = joined.groupBy("class", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("tid", "d", "place", "lo", "hi")).alias("r"))
-    groups = materialize(groups.withColumnRenamed("class", "cls"), "contexts")
-    _settle(spark)
+    groups = joined.groupBy("class", "ctx").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.min(F.struct("tid", "d", "place", "lo", "hi")).alias("r"))
+    groups = steps.write(groups.withColumnRenamed("class", "cls"), "groups")
     # contexts of classes that have more than one, read from the texts
     sizes = groups.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1")
-    own = groups.join(sizes, "cls").groupBy("r.tid", "r.d").agg(F.collect_list(F.struct("cls", "ctx", "n", "r.place", "r.lo", "r.hi", F.lit(length).alias("length"))).alias("own"))
-    own = own.withColumnsRenamed({"tid": "o_tid", "d": "o_d"})
-    texts = packed(rows.select("tid", "d", "t"))
-    wanted = texts.join(own, (F.col("tid") == F.col("o_tid")) & F.col("d").eqNullSafe(F.col("o_d"))).select("z", "own")
-    contexts = materialize(_contexts(wanted).dropDuplicates(["cls", "ctx"]).withColumns({"c0": F.col("cls"), "x0": F.col("ctx")}), "bytes")
-    _settle(spark)
+    own = groups.join(sizes, "cls").groupBy("r.tid", "r.d").agg(F.collect_list(F.struct("cls", "ctx", "a", "b", "r.place", "r.lo", "r.hi")).alias("own"))
+    own = own.withColumnsRenamed({"tid": "o_tid", "d": "o_d"})  # one row of each text: copies would all bring the same contexts
+    wanted = packed(rows).join(own, (F.col("tid") == F.col("o_tid")) & F.col("d").eqNullSafe(F.col("o_d"))).select("z", "own")
+    contexts = steps.write(_contexts(wanted, length, unit).dropDuplicates(["cls", "ctx"]).withColumns({"c0": F.col("cls"), "x0": F.col("ctx")}), "contexts")
     solved = []
     for width in (*NARROW, 0):
         sizes = contexts.groupBy("cls").agg(F.count("*").alias("c"))
-        hot = materialize(sizes.where(F.col("c") > cap).select("cls"), "hot")
+        hot = steps.write(sizes.where(F.col("c") > cap).select("cls"), f"hot-{width}")
         none = hot.isEmpty()
-        solved.append(_ordered(contexts if none else contexts.join(hot, "cls", "left_anti"), length))
+        solved.append(_ordered(contexts if none else contexts.join(hot, "cls", "left_anti"), length, w))
         if none or not width:
             break
-        contexts = materialize(_narrowed(contexts.join(hot, "cls", "left_semi"), width, length), "narrowed")
-        if width == 1:  # windows of a class are equal: those counted twice or more repeat
-            twice = contexts.groupBy("cls").agg(F.sum("n").alias("c")).where("c > 1").select("cls")
+        contexts = steps.write(_narrowed(contexts.join(hot, "cls", "left_semi"), width, length, w), f"narrowed-{width}")
+        if width == 1:  # windows of a class are equal: those of two owners repeat
+            twice = contexts.groupBy("cls").agg(F.min("a").alias("least"), F.max("b").alias("most")).where("least <> most").select("cls")
             solved.append(contexts.join(twice, "cls").select(F.col("c0").alias("cls"), F.col("x0").alias("ctx"), "lo", "hi", F.lit(bytes([128])).alias("bits")))
             break
     parts = solved[0]
     for x in solved[1:]:
         parts = parts.union(x)
     once = parts.groupBy("cls", "ctx").agg(F.collect_list(F.struct("lo", "hi", "bits")).alias("parts"))
-    full = groups.where("n > 1").select("cls", "ctx", F.lit(None).cast("array<struct<lo:smallint,hi:smallint,bits:binary>>").alias("parts"))
+    full = groups.where("a <> b").select("cls", "ctx", F.lit(None).cast("array<struct<lo:smallint,hi:smallint,bits:binary>>").alias("parts"))
     repeated = full.union(once.join(full, ["cls", "ctx"], "left_anti"))
-    marks = materialize(found.join(repeated, ["cls", "ctx"]).groupBy("tid").agg(F.collect_set(F.struct("place", "lo", "hi", "parts")).alias("marks")), "marks")
-    _settle(spark)
-
-    def cut(data: bytes, marks: list | None) -> tuple[bytes, int, int]:
-        """What is kept, bytes removed, runs removed."""
-        if not marks:
-            return data, 0, 0
-        edge = np.zeros(len(data) + 1, dtype=np.int32)
-        for m in marks:
-            if m["parts"] is None:
-                first, last = m["place"] - m["hi"], m["place"] - m["lo"]
-                edge[first] += 1
-                edge[last + length] -= 1
-                continue
-            for p in m["parts"]:
-                starts = m["place"] - p["lo"] - np.flatnonzero(np.unpackbits(np.frombuffer(p["bits"], dtype=np.uint8))[: p["hi"] - p["lo"] + 1])
-                edge[starts] += 1
-                edge[starts + length] -= 1
-        gone = np.cumsum(edge[:-1]) > 0
-        runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-        return np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), runs
-
-    if text:
-        names = [c for c in docs.columns if c != text_col]
-        extra = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("x"), F.col(text_col).alias("t"))
-        keyed = extra.withColumn("tid", F.unhex(F.md5(F.coalesce("t", F.lit("")))))
-        joined = keyed.join(marks.withColumnRenamed("tid", "m_tid"), F.col("tid") == F.col("m_tid"), "left").select("x", "t", "marks")
-
-        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [None if t is None else t if not m else cut(t, m)[0] for t, m in zip(batch.column("t").cast(pa.binary()).to_pylist(), batch.column("marks").to_pylist())]
-                texts = pa.array([None if t is None else t.decode(errors="ignore") for t in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("x"), texts], names=["x", "t"])
-
-        out = joined.mapInArrow(kept, joined.select("x", "t").schema)
-        return out.select(*[F.col("t").alias(c) if c == text_col else F.col(f"x.`{c}`").alias(c) for c in docs.columns])
+    marks = steps.write(found.join(repeated, ["cls", "ctx"]).groupBy("tid").agg(F.collect_set(F.struct("place", "lo", "hi", "parts")).alias("marks")), f"marks-{unit}")
+    steps.drop(*[k for k in steps.paths if not k.startswith("marks")])
+    return marks
+
+
+def _gone(n: int, marks: list, length: int) -> np.ndarray:
+    """For each of n symbols whether a repeated window holds it."""
+    edge = np.zeros(n + 1, dtype=np.int32)
+    for m in marks:
+        if m["parts"] is None:
+            edge[m["place"] - m["hi"]] += 1
+            edge[m["place"] - m["lo"] + length] -= 1
+            continue
+        for p in m["parts"]:
+            starts = m["place"] - p["lo"] - np.flatnonzero(np.unpackbits(np.frombuffer(p["bits"], dtype=np.uint8))[: p["hi"] - p["lo"] + 1])
+            edge[starts] += 1
+            edge[starts + length] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _cut(data: bytes, marks: list | None, length: int, unit: str) -> tuple[bytes, int, int, int]:
+    """What is kept, bytes removed, runs removed, symbols removed. White space after removed words goes with them."""
+    if not marks:
+        return data, 0, 0, 0
+    buf = np.frombuffer(data, dtype=np.uint8)
+    if unit == "bytes":
+        gone = _gone(len(buf), marks, length)
+        n = int(gone.sum())
+    else:
+        starts, ends = words(buf, np.array([0, len(buf)]))
+        hit = _gone(len(starts), marks, length)
+        n = int(hit.sum())
+        gone = np.zeros(len(buf), dtype=bool)
+        gone[starts[0] :] = np.repeat(hit, np.diff(np.append(starts, len(buf))))
+    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+    return buf[~gone].tobytes(), int(gone.sum()), runs, n
+
+
+def _keyed(docs: DataFrame, names: list[str], text_col: str) -> DataFrame:
+    """x (the named columns), t (the text) and tid (its digest)."""
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("x"), F.col(f"`{text_col}`").alias("t"))
+    return carried.withColumn("tid", F.unhex(F.md5(F.coalesce("t", F.lit("")))))
+
+
+def removal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "bytes", length: int | None = None, gram: int | None = None, across: bool = False, cap: int = CLASS_CAP, text: bool = False, passages: bool = False) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, n_symbols (removed) and kept_sha256 of every row, or with text=True all columns with the text that is kept (invalid bytes at a cut character's edge are dropped).
+
+    passages: also n_passage_words, the words inside passages of over 50 words that stand in another row as well.
+    """
+    prepare(docs.sparkSession)
+    length, gram = length or LENGTH[unit], gram or GRAM[unit]
+    names = [c for c in docs.columns if c != text_col] if text else [id_col]
+    rows = _keyed(docs, names, text_col)
+    read, steps = _keyed(docs, [id_col], text_col).select("tid", F.col(f"x.`{id_col}`").alias("d"), "t"), Steps(docs.sparkSession)
+    marks = _repeats(read, steps, length, gram, unit, across, cap).withColumn("more", F.lit(None).cast(_MARKS))
+    if passages:  # one row a text again, so that the texts are joined once
+        more = _repeats(read, steps, LENGTH["words"], GRAM["words"], "words", True, cap).select("tid", F.lit(None).cast(_MARKS).alias("marks"), F.col("marks").alias("more"))
+        marks = marks.union(more).groupBy("tid").agg(F.first("marks", True).alias("marks"), F.first("more", True).alias("more"))
+    marks = marks.withColumnRenamed("tid", "m_tid")
+    joined = packed(rows).join(marks, F.col("tid") == F.col("m_tid"), "left").select("x", "z", "marks", "more")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if not z.is_valid else _cut(unpacked(z.as_py()), m.as_py(), length, unit)[0].decode(errors="ignore") for z, m in zip(batch.column("z"), batch.column("marks"))]
+            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array(texts, pa.string())], names=["x", "t"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for z, m in zip(batch.column("z"), batch.column("marks")):
+            for z, m, more in zip(batch.column("z"), batch.column("marks"), batch.column("more")):
                 data = unpacked(z.as_py())
-                keep, removed, runs = cut(data, m.as_py())
-                out.append((len(data), removed, runs, hashlib.sha256(keep).hexdigest()))
-            n, removed, runs, sha = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], names=["d", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                keep, removed, runs, n = _cut(data, m.as_py(), length, unit)
+                out.append((len(data), removed, runs, n, hashlib.sha256(keep).hexdigest(), _cut(data, more.as_py(), LENGTH["words"], "words")[3]))
+            columns = zip(*out) if out else ((),) * 6
+            yield pa.RecordBatch.from_arrays([batch.column("x"), *[pa.array(c, t) for c, t in zip(columns, (*(pa.int64(),) * 4, pa.string(), pa.int64()))]], names=["x", *made])
 
-    last = packed(rows.select("tid", "d", "t"))
-    joined = last.join(marks.withColumnRenamed("tid", "m_tid"), F.col("tid") == F.col("m_tid"), "left").select("d", "z", "marks")
-    return joined.mapInArrow(digest, f"d {rows.schema['d'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("d", id_col)
+    made = ["n_bytes", "n_removed", "n_spans", "n_symbols", "kept_sha256", "n_passage_words"]
+    kind = joined.select("x").schema
+    if text:
+        out = joined.mapInArrow(kept, kind.add("t", "string"))
+        return out.select(*[F.col("t").alias(c) if c == text_col else F.col(f"x.`{c}`").alias(c) for c in docs.columns])
+    for c in made:
+        kind = kind.add(c, "string" if c == "kept_sha256" else "long")
+    return joined.mapInArrow(digest, kind).select(F.col(f"x.`{id_col}`").alias(id_col), *(made if passages else made[:-1]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return removal(table(spark, sf_dir, "documents"))
+    """Removal of 400-byte strings; beside it n_passage_words, as passages of over 50 words may be shorter than that."""
+    return removal(table(spark, sf_dir, "documents"), passages=True).drop("n_symbols")

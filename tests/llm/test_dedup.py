@@ -117,7 +117,7 @@ def naive_removal(texts, length):
 def check_removal(spark, texts, length, gram, cap=suffix_dedup.CLASS_CAP):
     docs = spark.createDataFrame([(k, t, b"") for k, t in enumerate(texts)], "doc_id long, text string, tid binary")
     found = suffix_dedup.removal(docs, length=length, gram=gram, cap=cap).collect()
-    got = {r["doc_id"]: tuple(r)[1:] for r in found}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found}
     assert [got[k] for k in range(len(texts))] == naive_removal(texts, length)
 
 
@@ -153,7 +153,8 @@ def test_repeats_of_documents(spark, sf):
 
     rows = table(spark, sf, "documents").select("doc_id", "text").orderBy("doc_id").collect()
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.query(spark, sf).collect()}
-    assert [got[r["doc_id"]] for r in rows] == naive_removal([r["text"] for r in rows], 400)
+    assert [got[r["doc_id"]][:-1] for r in rows] == naive_removal([r["text"] for r in rows], 400)
+    assert [got[r["doc_id"]][-1] for r in rows] == [len(g) for g in naive_words([r["text"] for r in rows], 51, True)[1]]
 
 
 def test_column_order_is_the_sorted_order():
@@ -170,6 +171,48 @@ def test_column_order_is_the_sorted_order():
         assert prefix[i] == want
 
 
+def naive_words(texts, length, across):
+    """Per text the places of words in windows that a second owner has."""
+    lines = [[w.decode() for w in (t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()] for t in texts]
+    owners = {}
+    for d, w in enumerate(lines):
+        for i in range(len(w) - length + 1):
+            owners.setdefault(tuple(w[i : i + length]), []).append((d, i))
+    gone = [set() for _ in texts]
+    for places in owners.values():
+        if len({d for d, _ in places} if across else places) > 1:
+            for d, i in places:
+                gone[d].update(range(i, i + length))
+    return lines, gone
+
+
+def test_repeated_passages_of_words(spark):
+    """Windows of words, in two places or in two rows, whatever the white space and the case of A-Z."""
+    rng = random.Random(8)
+    shared = [[rng.choice(["la", "Éa", "on", "x" * 30, "the"]) for _ in range(40)] for _ in range(3)]
+    texts = [None, "", " \n", "on " * 30, "the\tthe  the", "lone " + "w" * 400]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            s, a = rng.choice(shared), rng.randrange(0, 30)
+            part = s[a : a + rng.randrange(3, 30)] if rng.random() < 0.6 else [rng.choice("abcdef") * 3 for _ in range(rng.randrange(1, 20))]
+            parts += [w.upper() if rng.random() < 0.1 and w.isascii() else w for w in part]
+        texts.append(rng.choice(["", " "]) + rng.choice([" ", "\n", "  "]).join(parts))
+    texts += texts[-2:]
+    docs = spark.createDataFrame([(k, t, "m") for k, t in enumerate(texts)], "doc_id long, text string, marks string")
+    for across in (False, True):
+        lines, gone = naive_words(texts, 9, across)
+        for cap in (suffix_dedup.CLASS_CAP, 3):
+            got = {r["doc_id"]: r["n_symbols"] for r in suffix_dedup.removal(docs, unit="words", length=9, gram=3, across=across, cap=cap).collect()}
+            assert got == {k: len(g) for k, g in enumerate(gone)}, (across, cap)
+        kept = {r["doc_id"]: r["text"] for r in suffix_dedup.removal(docs, unit="words", length=9, gram=3, across=across, text=True).collect()}
+        for k, t in enumerate(texts):
+            want = [w for i, w in enumerate(lines[k]) if i not in gone[k]]
+            assert (kept[k] is None) == (t is None)
+            assert [w.decode() for w in (kept[k] or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()] == want
+            assert gone[k] or kept[k] == t
+
+
 def test_removed_text_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "q" * 500 + "é", "x"), (2, "q" * 500 + "z", "y"), (3, None, "z")], "doc_id long, text string, d string")
     kept = {r["doc_id"]: (r["text"], r["d"]) for r in suffix_dedup.removal(docs, text=True).collect()}
