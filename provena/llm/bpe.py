@@ -5,14 +5,18 @@ about one length form a padded matrix of token ids, and each round every row mer
 pair's rank comes from an open-addressed hash table held in numpy arrays; rows that have no pair left are taken out
 (compaction), the others move their tails up by one.
 
-Defined cases: null texts are empty; an empty text has no ids; lone pieces of any length are encoded whole (long ones in
-matrices of few rows); repeated rows each give a row.
+A piece of over LONG bytes (an unbroken run of letters or of white space) would move its whole row up at every merge. Its
+pairs wait in a heap by rank and place instead, which gives the same merges in the same order.
+
+Defined cases: null texts are empty; an empty text has no ids; lone pieces of any length are encoded whole; repeated rows
+each give a row.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,8 @@ from .common import SLICE_BYTES, WHITE, Memo, held, joined_cuts, prepare, ragged
 
 #: Cells of a padded matrix, and remembered pieces of a worker.
 MATRIX_CELLS, MEMO = 1 << 19, 400_000
+#: Bytes of a piece that is too long for a matrix.
+LONG = 1024
 NONE = np.int64(1) << 40
 
 
@@ -108,13 +114,37 @@ def _merge(matrix: np.ndarray, lengths: np.ndarray, ranks: Ranks) -> list[np.nda
     return out
 
 
+def _merge_long(piece: bytes, ranks: Ranks) -> np.ndarray:
+    """Ids of one long piece: the leftmost pair of minimum rank comes off a heap, its neighbours are looked up anew."""
+    ids = ranks.byte_id[np.frombuffer(piece, dtype=np.uint8)]
+    first = ranks.rank(ids[:-1], ids[1:])
+    n, token, tokens, find = len(ids), ids.tolist(), ranks.tokens, ranks.ranks.get
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(int(first[i]), i) for i in np.flatnonzero(first != NONE).tolist()]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if token[i] < 0 or j >= n or find(tokens[token[i]] + tokens[token[j]]) != rank:
+            continue  # one of the two has been merged since
+        token[i], token[j], after[i] = rank, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a in (before[i], i):
+            if a >= 0 and after[a] < n and (new := find(tokens[token[a]] + tokens[token[after[a]]])) is not None:
+                heapq.heappush(heap, (new, a))
+    return np.array([t for t in token if t >= 0], dtype=np.uint32)
+
+
 def encode_pieces(pieces: list[bytes], ranks: Ranks) -> list[np.ndarray]:
     """Ids of each piece; one that is a token itself needs no merge."""
     out: list = [None] * len(pieces)
     rest = []
     for k, p in enumerate(pieces):
         r = ranks.ranks.get(p)
-        if r is None and p:
+        if r is None and len(p) > LONG:
+            out[k] = _merge_long(p, ranks)
+        elif r is None and p:
             rest.append(k)
         else:
             out[k] = np.array([r], dtype=np.uint32) if p else np.zeros(0, np.uint32)

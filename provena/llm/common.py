@@ -310,3 +310,10 @@ def bounded_sample(rows: DataFrame, by: str, most: int, seed: int) -> list:
     near = h.where(F.pmod("h_", F.lit(1 << 30)) < F.element_at(bound, F.col(by)) * (1 << 30))
     order = Window.partitionBy(by).orderBy("h_")
     return near.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= most).drop("r_", "h_").collect()
+
+
+def bounded_texts(rows: DataFrame, by: str, order: str, text: str, most: int) -> list:
+    """The rows of each group, by `order`, as far as their texts have at most `most` bytes together; the first one always."""
+    before = Window.partitionBy(by).orderBy(order)
+    held = rows.withColumns({"size_": F.sum(F.octet_length(text)).over(before), "row_": F.row_number().over(before)})
+    return held.where((F.col("size_") <= most) | (F.col("row_") == 1)).drop("size_", "row_").orderBy(by, order).collect()

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import held, prepare, table
+from .common import held, materialize, prepare, table
 
 WINDOW = 13
 #: An automaton's windows come from at most about this many bytes of items; larger benchmarks are scanned for in blocks.
@@ -72,8 +72,8 @@ def _original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     return [{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1))]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least: int = 20, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """Per document row: id (or the columns in keep), n_words, n_hit, items (sorted as strings), spans (original byte offsets), contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least: int = 20, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
+    """Per document row: id (with whole=True a struct `row` of all its columns, whatever their names), n_words, n_hit, items (sorted as strings), spans (original byte offsets), contaminated.
 
     contaminated: n_hit > 0 and least * n_hit >= n_words. The benchmark's bytes are counted first; each block of at most
     about block_bytes of it becomes one automaton that is broadcast, and the documents pass the blocks one after the other.
@@ -83,7 +83,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    carried = F.struct(*[F.col(f"`{c}`") for c in (keep or [id_col])]).alias("d")
+    carried = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else [id_col])]).alias("d")
     kind = docs.select(carried).schema["d"].dataType
     rows = docs.select(carried, F.col(text_col).alias("t"), F.expr("cast(array() as array<struct<a:int,n:int>>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("items"))
     for k in range(blocks):
@@ -120,7 +120,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
         made = T.StructType.fromDDL("n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>" if last else "t string, runs array<struct<a:int,n:int>>, items array<string>")
         rows = rows.mapInArrow(run, T.StructType([T.StructField("d", kind), *made.fields]))
-    return rows.select("d.*", "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        if not last:  # so that the driver and the workers hold one block's patterns at a time
+            rows = materialize(rows, f"block-{k}")
+            patterns.destroy()
+    id_ = F.col("d").alias("row") if whole else F.col(f"d.`{id_col}`").alias(id_col)
+    return rows.select(id_, "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ Copies of a vector are one entry with its smallest ids, k + 1 of them, which is
 where fewer are kept, as larger ids of equal score rank after them.
 
 Defined cases: null ids, and vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
-different lengths never meet; rows that share the query's id are its own; fewer candidates than k give as many rows.
+different lengths never meet; rows that share the query's id are its own, and where an id has several vectors these are set
+aside before anything is cut to k; fewer candidates than k give as many rows.
 """
 
 from __future__ import annotations
@@ -117,17 +118,19 @@ def _usable(v: Column) -> Column:
 def _search(rows: DataFrame, k: int, trees: int, least: int) -> DataFrame:
     """rows: block, kind (0 vectors, 1 queries), key, v, ids, ordered within blocks; gives key and its best (score, id) of the block."""
 
-    def answer(x: np.ndarray, ids: list, forest: Forest, keys: list, queries: np.ndarray) -> pa.RecordBatch:
+    def answer(x: np.ndarray, ids: list, forest: Forest, keys: list, owners: list, queries: np.ndarray) -> pa.RecordBatch:
         found = []
-        for q, places in zip(queries, forest.candidates(queries, least)):
+        for q, own, places in zip(queries, owners, forest.candidates(queries, least)):
+            other = lambda at: at if own[0] is None else np.array([p for p in at.tolist() if ids[p] != own], dtype=np.int64)
+            places = other(places)
             scores = np.einsum("ij,j->i", x[places], q)
-            more = forest.longer(places, scores, k)
+            more = other(forest.longer(places, scores, k))
             if len(more):
                 places, scores = np.concatenate([places, more]), np.concatenate([scores, np.einsum("ij,j->i", x[more], q)])
             if len(places) > 4 * k:
                 cut = np.partition(scores, len(scores) - k - 1)[-k - 1]
                 places, scores = places[scores >= cut], scores[scores >= cut]
-            best = sorted((-s, i) for p, s in zip(places.tolist(), scores.tolist()) for i in ids[p])[: k + 1]
+            best = sorted((-s, i) for p, s in zip(places.tolist(), scores.tolist()) for i in ids[p] if i != own[0])[: k + 1]
             found.append([{"s": s, "i": i} for s, i in best])
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())])))], names=["key", "best"])
 
@@ -151,7 +154,7 @@ def _search(rows: DataFrame, k: int, trees: int, least: int) -> DataFrame:
                     x = np.concatenate(parts)
                     forest = Forest(x, trees)
                 for c in range(0, b - a if forest else 0, 256):
-                    yield answer(x, ids, forest, part.column("key").slice(c, 256).to_pylist(), v[c : c + 256])
+                    yield answer(x, ids, forest, part.column("key").slice(c, 256).to_pylist(), part.column("ids").slice(c, 256).to_pylist(), v[c : c + 256])
 
     return rows.mapInArrow(run, "key binary, best array<struct<s:double,i:bigint>>")
 
@@ -167,15 +170,20 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vect
     ranked = v.dropDuplicates(["key", "id"]).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
     entries = ranked.groupBy("key").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
     entries = materialize(entries, "vectors")
-    asked = materialize(v.where(queries).select("id", "key", "v"), "queries")
+    # the vector names a query; where an id has several vectors, the id and the vector do, and the block leaves out what is its own
+    rows = v.where(queries).dropDuplicates(["id", "key"])
+    several = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    own = F.when(F.col("n").isNotNull(), F.col("id"))
+    asked = v.where(queries).join(several, "id", "left").select("id", own.alias("own"), F.unhex(F.md5(F.concat(F.hex("key"), F.coalesce(own.cast("string"), F.lit(""))))).alias("key"), "v")
+    asked = materialize(asked, "queries")
     sizes = {r["d"]: max(1, -(-r["n"] // block_rows)) for r in entries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = F.element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, n)]), F.size("v"))
     place = lambda b: F.concat_ws("/", F.size("v").cast("string"), b.cast("string"))
     held = entries.select(place(F.pmod(F.xxhash64("key"), blocks)).alias("block"), F.lit(0).alias("kind"), "key", "v", "ids")
-    distinct = asked.groupBy("key").agg(F.first("v").alias("v"))
-    dealt = distinct.select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("b")).select(place(F.col("b")).alias("block"), F.lit(1).alias("kind"), "key", "v", F.lit(None).cast("array<bigint>").alias("ids"))
+    distinct = asked.groupBy("key").agg(F.first("v").alias("v"), F.first("own").alias("own"))
+    dealt = distinct.select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("b")).select(place(F.col("b")).alias("block"), F.lit(1).alias("kind"), "key", "v", F.array("own").alias("ids"))
     n = max(sum(sizes.values()), spark.sparkContext.defaultParallelism)
     streamed = held.union(dealt).repartition(n, "block").sortWithinPartitions("block", "kind")
     found = _search(streamed, k, trees, candidates)

@@ -3,8 +3,8 @@
 The network reads a word's bytes (A-Z lower-cased) from both ends, labels every position with probabilities of the languages,
 and a document's probability is the mean over all positions of all its words that have a letter. States start anew at each
 word, so a word has the same labels wherever it stands and each distinct one of a slice is run once. It is trained by
-backpropagation through time on words of a bounded sample: at most SAMPLE_DOCS distinct texts of a language and SAMPLE_WORDS
-of their words, with the document's language as the label of every position.
+backpropagation through time on all words of a bounded sample, with the document's language as the label of every position:
+at most SAMPLE_DOCS distinct texts of a language, and of these as many as have SAMPLE_BYTES bytes together.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; words of over MOST bytes are read in pieces; ties
 go to the first language in order of name; without any labelled text all are `und`; repeated rows each give a row.
@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, Rows, bounded_sample, chunk_sums, flat, fold, held, materialize, prepare, slices, table, uniques, word_cuts
+from .common import LOWER, Rows, bounded_sample, bounded_texts, chunk_sums, flat, fold, held, materialize, prepare, ragged, slices, table, uniques, word_cuts
 
 #: Bounds of the training sample.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 12_000
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 8 << 20
 #: Width of the byte vectors and of each direction's state, bytes of a piece, steps, words of a step, rate.
 WIDTH, STATE, MOST, STEPS, BATCH, RATE = 12, 16, 24, 500, 256, 0.01
 MEMO = 400_000
@@ -111,15 +111,15 @@ class Network:
             g["e"] += inputs @ w.T
         return float(loss), g
 
-    def fit(self, words: list[bytes], y: np.ndarray, steps: int = STEPS, seed: int = 5) -> Network:
-        """Adam over batches of words of about one length."""
+    def fit(self, words: list[bytes], which: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> Network:
+        """Adam over batches of words of about one length. which, y: number of each occurring word, and its language."""
         rng, m1, m2 = np.random.default_rng(seed), {}, {}
-        order = np.argsort([len(w) for w in words], kind="stable")
+        order = np.argsort(np.array([len(w) for w in words])[which], kind="stable")
         for step in range(1, steps + 1):
-            at = rng.integers(0, max(1, len(words) - BATCH // 2))
+            at = rng.integers(0, max(1, len(which) - BATCH // 2))
             near = order[at : at + 4 * BATCH]
             pick = rng.choice(near, size=min(BATCH, len(near)), replace=False)
-            _, g = self.gradients(*matrix([words[k] for k in pick]), y[pick])
+            _, g = self.gradients(*matrix([words[k] for k in which[pick]]), y[pick])
             rate = RATE * min(1, 2 - 2 * step / (steps + 1))
             for k, v in g.items():
                 v = np.clip(v, -1, 1)
@@ -140,20 +140,21 @@ def train(rows: list[tuple[str, str]]) -> Network:
     """Fit a network to (text, language) rows."""
     langs = sorted({lang for _, lang in rows})
     net = Network(langs)
-    words, y = [], []
-    rng = np.random.default_rng(3)
+    words, which, y = [], [], []
     for k, lang in enumerate(langs):
         buf, offsets = flat(pa.array([t for t, own in rows if own == lang], pa.string()))
+        if not len(buf):
+            continue
         buf = LOWER[buf]
-        own = []
-        if len(buf):
-            at, distinct = uniques(buf, word_cuts(buf, offsets))
-            take = at if len(at) <= SAMPLE_WORDS else at[rng.choice(len(at), SAMPLE_WORDS, replace=False)]
-            own = [p for i in take for p in pieces(distinct[i].strip())]
-        words += own
-        y += [k] * len(own)
+        at, distinct = uniques(buf, word_cuts(buf, offsets))
+        cut = [pieces(c.strip()) for c in distinct]
+        count = np.array([len(c) for c in cut])
+        first = len(words) + np.cumsum(count) - count
+        which.append(ragged(first[at], count[at]))
+        y.append(np.full(len(which[-1]), k))
+        words += [p for c in cut for p in c]
     if words and len(langs) > 1:
-        net.fit(words, np.array(y))
+        net.fit(words, np.concatenate(which), np.concatenate(y))
     return net
 
 
@@ -179,12 +180,12 @@ class Labeller:
         return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
 
 
-def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id (and the columns in keep), lang_pred and score of every row."""
+def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """id, lang_pred and score of every row; with whole=True a struct `row` of all its columns, whatever their names, takes the id's place."""
     prepare(docs.sparkSession)
     state = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers, whatever the input
     token = uuid.uuid4().hex
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or [id_col])]).alias("d"), F.col(text_col).alias("t"))
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else [id_col])]).alias("row"), F.col(f"`{text_col}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held(token, lambda: Labeller(state.value))
@@ -196,10 +197,10 @@ def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
                 best[score == 0] = len(langs) - 1
             else:
                 best, score = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
-            yield pa.RecordBatch.from_arrays([rows.column("d"), pa.array([langs[k] for k in best]), pa.array(np.minimum(score, 1.0))], names=["d", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array([langs[k] for k in best]), pa.array(np.minimum(score, 1.0))], names=["row", "lang_pred", "score"])
 
-    schema = carried.select("d").schema.add("lang_pred", "string").add("score", "double")
-    return carried.mapInArrow(run, schema).select("d.*", "lang_pred", "score")
+    found = carried.mapInArrow(run, carried.select("row").schema.add("lang_pred", "string").add("score", "double"))
+    return found if whole else found.select(F.col(f"row.`{id_col}`").alias(id_col), "lang_pred", "score")
 
 
 def learn(docs: DataFrame, where: Column, *, text_col: str = "text", lang_col: str = "lang") -> Network:
@@ -214,7 +215,7 @@ def learn(docs: DataFrame, where: Column, *, text_col: str = "text", lang_col: s
         return train([])
     keys = docs.sparkSession.createDataFrame([(r["k"], r["l"]) for r in chosen], rows.select("k", "l").schema)
     sample = rows.join(F.broadcast(keys), ["k", "l"])  # at most SAMPLE_DOCS keys of a language
-    return train([(r["t"], r["l"]) for r in sample.groupBy("k", "l").agg(F.min("t").alias("t")).orderBy("l", "k").collect()])
+    return train([(r["t"], r["l"]) for r in bounded_texts(sample.groupBy("k", "l").agg(F.min("t").alias("t")), "l", "k", "t", SAMPLE_BYTES)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

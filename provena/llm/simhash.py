@@ -54,17 +54,16 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """d (a struct of the id alone, or of all columns where id_col is "*") and fp (the fingerprint as a signed bigint) of every row."""
+    """id, h (a hash of the text) and fp (the fingerprint as a signed bigint) of every row."""
     prepare(docs.sparkSession)
-    carried = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if id_col == "*" else [id_col])]).alias("d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed) for t in batch.column("t").cast(pa.binary())], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(fp.view(np.int64))], names=["d", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
 
-    held = docs.select(carried, F.col(text_col).alias("t"))
-    return held.mapInArrow(run, held.select("d").schema.add("fp", "long"))
+    held = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h"), F.col(f"`{text_col}`").alias("t"))
+    return held.mapInArrow(run, held.select("id", "h").schema.add("fp", "long"))
 
 
 def _mask(positions) -> int:
@@ -142,22 +141,22 @@ def links(fps: DataFrame, cap: int = LIST_CAP) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap: int = LIST_CAP) -> DataFrame:
-    """id, fp, root (a fingerprint that names the group) and component_id (the smallest id of the group) of every row."""
-    marked = materialize(fingerprints(docs, id_col=id_col, text_col=text_col).select(F.col("d")[id_col].alias("id"), "fp"), "fingerprints")
+    """id, h (a hash of the text), fp, root (a fingerprint that names the group) and component_id (the smallest id of the group) of every row."""
+    marked = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     groups = components(links(distinct.select("fp"), cap))
     rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    return marked.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp").select(F.col("id").alias(id_col), "h", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with all columns: that of the smallest id, a null id only where the group has no other."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp")).alias("r")).select(F.col("r.id").alias("id"), F.col("r.fp").alias("of"))
-    rows = fingerprints(docs, id_col="*", text_col=text_col)
-    kept = rows.join(first, F.col("d")[id_col].eqNullSafe(F.col("id")) & (F.col("fp") == F.col("of")), "left_semi")
-    return kept.withColumn("id", F.col("d")[id_col]).dropDuplicates(["id", "fp"]).select("d.*")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "h")).alias("r")).select("r.id", "r.h")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("i"), F.xxhash64(f"`{text_col}`").alias("k"))
+    kept = rows.join(first, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("h")), "left_semi")
+    return kept.dropDuplicates(["i", "k"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

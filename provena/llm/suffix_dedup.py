@@ -318,8 +318,8 @@ def _repeats(rows: DataFrame, steps: Steps, length: int, gram: int, unit: str, a
     groups = joined.groupBy("class", "ctx").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.min(F.struct("tid", "d", "place", "lo", "hi")).alias("r"))
     groups = steps.write(groups.withColumnRenamed("class", "cls"), "groups")
     # contexts of classes that have more than one, read from the texts
-    sizes = groups.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1")
-    own = groups.join(sizes, "cls").groupBy("r.tid", "r.d").agg(F.collect_list(F.struct("cls", "ctx", "a", "b", "r.place", "r.lo", "r.hi")).alias("own"))
+    shared = steps.write(groups.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), "shared")
+    own = groups.join(shared, "cls").groupBy("r.tid", "r.d").agg(F.collect_list(F.struct("cls", "ctx", "a", "b", "r.place", "r.lo", "r.hi")).alias("own"))
     own = own.withColumnsRenamed({"tid": "o_tid", "d": "o_d"})  # one row of each text: copies would all bring the same contexts
     wanted = packed(rows).join(own, (F.col("tid") == F.col("o_tid")) & F.col("d").eqNullSafe(F.col("o_d"))).select("z", "own")
     contexts = steps.write(_contexts(wanted, length, unit).dropDuplicates(["cls", "ctx"]).withColumns({"c0": F.col("cls"), "x0": F.col("ctx")}), "contexts")

@@ -6,7 +6,8 @@ what was. A document's evidence is the sum of -log(clean probability) over all i
 function of the logarithm of that, whose two coefficients are learned with the vectors: two marked words count in a text of
 any length. n-grams of fewer than LEAST_DOCS sampled documents have no vector, so that rare words teach nothing.
 
-Training takes a bounded sample: at most SAMPLE_DOCS labelled documents of each class, by a hash of the row.
+Training takes a bounded sample: at most SAMPLE_DOCS labelled documents of each class, by a hash of the row, and of these as
+many as have SAMPLE_BYTES bytes together.
 
 Defined cases: null, empty and wordless texts have no evidence and get the lowest score that the model gives; without labels
 of both classes every score is the toxic share of the sample; repeated rows each give a row; a null label is no label.
@@ -21,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, Rows, bounded_sample, chunk_sums, flat, fold, held, prepare, ragged, slices, table, uniques, word_cuts
+from .common import LOWER, Rows, bounded_sample, bounded_texts, chunk_sums, flat, fold, held, prepare, ragged, slices, table, uniques, word_cuts
 
-SAMPLE_DOCS, LEAST_DOCS = 1000, 4
+SAMPLE_DOCS, SAMPLE_BYTES, LEAST_DOCS = 1000, 16 << 20, 4
 SIZES, DIM, STEPS, RATE = (3, 4, 5, 6, 7), 8, 60, 0.03
 #: Evidence that an empty text has, and the least score for the label 1.
 FLOOR, LABEL_AT = 1e-4, 0.7
@@ -209,8 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, *, id_col: str = "d
     if not chosen:
         return Model()
     ids = docs.sparkSession.createDataFrame([(r["i"], r["y"]) for r in chosen], marked.schema)
-    rows = docs.join(F.broadcast(ids), docs[id_col] == ids["i"])  # at most 2 * SAMPLE_DOCS ids
-    sample = rows.groupBy("i").agg(F.min("y").alias("y"), F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).orderBy("i").collect()
+    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    rows = texts.join(F.broadcast(ids), "i")  # at most 2 * SAMPLE_DOCS ids
+    sample = bounded_texts(rows.groupBy("i").agg(F.min("y").alias("y"), F.min("t").alias("t")), "y", "i", "t", SAMPLE_BYTES)
     return Model().fit([r["t"] for r in sample], np.array([r["y"] for r in sample], dtype=np.float64))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 from provena.llm import bpe, chat, decontaminate, main_text, token_files
 from provena.llm.common import flat, scratch, table
+from pyspark.sql import functions as F
 
 ODD = [None, "", "a  b", " a", "  ", "a \n b", "x 　y é  ü", "don't 'S aren't", "aaaaa" * 900, "12 345  6", "…. »,", "日本 語", "a\u0085 b", "\x1c. a\x1f b", "<|endoftext|> x", "İstanbul K ΟΔΟΣ ǆ", "x́.y É́", "z " * 10 + "\n\n q"]
 
@@ -58,6 +60,9 @@ def test_decontamination(spark):
             assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
             data = (texts[r["doc_id"]] or "").encode()
             assert sum(len(plain_words(data[s["start"] : s["end"]].decode())) for s in r["spans"]) == hit
+    clash = docs.withColumns({c: F.lit(3) for c in ("n_words", "n_hit", "spans", "contaminated", "row", "d", "runs")})
+    whole = decontaminate.decontaminate(clash, bench, whole=True)
+    assert whole.select("row.*").columns == clash.columns and whole.where("contaminated").count() == sum(r["contaminated"] for r in got)
     assert decontaminate.decontaminate(docs.limit(0), bench).collect() == []
     assert all(r["n_hit"] == 0 for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
@@ -91,6 +96,22 @@ def test_bpe_equals_the_library(public, sf):
         assert codec.decode(own) == (t or "").encode()
 
 
+def test_bpe_of_long_pieces(public):
+    """Unbroken runs: the heap gives what the matrix gives, and a megabyte takes seconds."""
+    ranks = bpe.codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN).ranks
+    rng = random.Random(4)
+    for alphabet in ("ab", "etaoin shrdlu".replace(" ", ""), "aé漢"):
+        pieces = ["".join(rng.choice(alphabet) for _ in range(n)).encode() for n in (2, 3, 17, 200, 1500)]
+        for p in pieces:
+            m = ranks.byte_id[np.frombuffer(p, dtype=np.uint8)][None, :].copy()
+            assert bpe._merge_long(p, ranks).tolist() == bpe._merge(m, np.array([len(p)]), ranks)[0].tolist()
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20)).encode()
+    codec = bpe.codec(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    began = time.time()
+    ids, _ = codec.encode(np.frombuffer(long, dtype=np.uint8), np.array([0, len(long)]))
+    assert codec.decode(ids) == long and time.time() - began < 60
+
+
 def test_bpe_query_and_frames(public, spark, sf):
     path = public.path("byte_bpe_50k.tiktoken")
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(ODD)] + [(3, ODD[3], 1), (None, "q", 1)], "doc_id long, text string, d int")
