@@ -92,10 +92,10 @@ def arabic_index(c) -> Column:
     return _number(F.regexp_extract(trim_ws(c), rf"^([{ARABIC_DIGITS}]+)", 1))
 
 
-def all_indices(c, fallback: Column | None = None, least: int = 1, most: int = 7563) -> Column:
-    """Every number before a dash (a bracketed note may stand between) within bounds; else the fallback alone."""
+def all_indices(c, fallback: Column | None = None, least: int = 1, most: int | None = None) -> Column:
+    """Every number before a dash (a bracketed note may stand between) from least to most (unbounded by default); else the fallback alone."""
     found = F.regexp_extract_all(_s(c), F.lit(rf"(?<![0-9{ARABIC_DIGITS}])([0-9{ARABIC_DIGITS}]+)\s*(?:\([^)]*\)\s*)?{DASH}"), F.lit(1))
-    kept = F.filter(F.transform(found, _number), lambda x: x.between(least, most))
+    kept = F.filter(F.transform(found, _number), lambda x: (x >= least) & (x <= most) if most is not None else x >= least)
     other = F.array(fallback.cast("int")) if fallback is not None else F.array().cast("array<int>")
     return F.when(F.size(kept) > 0, kept).otherwise(F.filter(other, lambda x: x.isNotNull()))
 
@@ -167,6 +167,12 @@ def person_hash_id(c) -> Column:
     return F.concat(F.lit("NAR_"), F.upper(F.left(F.sha2(c, 256), F.lit(12))))
 
 
+def iso_utc(ts) -> Column:
+    """A timestamp as ISO 8601 in UTC, to the second, with Z. The session's zone doesn't matter."""
+    at = F.col(ts) if isinstance(ts, str) else ts
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def prefixed_id(prefix: str, *parts: Column) -> Column:
     return F.concat_ws("_", F.lit(prefix), *parts)
 

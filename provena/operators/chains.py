@@ -47,10 +47,46 @@ def edge_aggregate(edges: DataFrame, doc: str, order: str | None = None) -> Data
 
 
 def first_occurrence(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key with occurrence_count."""
-    w = Window.partitionBy(*key)
-    out = rows.withColumns({"occurrence_count": F.count("*").over(w), "n_": F.row_number().over(w.orderBy(*order))})
-    return out.where("n_ = 1").drop("n_")
+    """The first row of each key by the order columns (nulls first), with occurrence_count. Partial minima and counts go before the shuffle, so that a hot key is no task's sort."""
+    rest = [c for c in rows.columns if c not in key]
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first_"), F.count("*").alias("occurrence_count"))
+    return first.select(*[F.col(f"first_.`{c}`").alias(c) if c in rest else F.col(c) for c in rows.columns], "occurrence_count")
+
+
+def variants_per_id(rows: DataFrame, id_col: str, name: str) -> DataFrame:
+    """person_id and its distinct names, sorted."""
+    return rows.groupBy(F.col(id_col).alias("person_id")).agg(F.array_sort(F.collect_set(name)).alias("names"))
+
+
+def mention_counts(rows: DataFrame, name: str, doc: str) -> DataFrame:
+    """name, mention_count and n_docs (distinct) of every name."""
+    return rows.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("mention_count"), F.count_distinct(doc).alias("n_docs"))
+
+
+def occurrence_export(members: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """name, the place of its first occurrence and how often it occurs; blank names are left out."""
+    from ..functions.text import trim_ws
+
+    return first_occurrence(members.withColumn(name, trim_ws(name)).where(F.col(name) != ""), [name], order)
+
+
+def hadith_page(blocks: DataFrame, text: str, fallback: str | None = None) -> DataFrame:
+    """Adds number (leading digits, else the fallback), body (without the number) and plain (without marks) to each block of a page."""
+    from ..functions.text import extract_number, strip_marks, strip_number
+
+    number = extract_number(text) if fallback is None else F.coalesce(extract_number(text), F.col(fallback).cast("int"))
+    return blocks.withColumns({"number": number, "body": strip_number(text), "plain": strip_marks(strip_number(text))})
+
+
+def nested_documents(members: DataFrame, doc: str, chain: str, pos: str, name: str) -> DataFrame:
+    """doc, n_chains, n_members, chains (named, in order) and unique members, each chain read from its last place to its first."""
+    from ..functions.text import unique_lead_first
+
+    one = members.groupBy(doc, chain).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(name).alias("name")))), lambda x: F.struct(x["name"].alias("name"))).alias("m"))
+    g = one.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(chain).alias("c"), "m"))).alias("x"))
+    chains = F.transform("x", lambda x: x["m"])
+    named = F.transform("x", lambda x: F.struct(F.concat(F.lit("chain_"), x["c"].cast("string")).alias("chain_id"), F.transform(x["m"], lambda m: m["name"]).alias("names")))
+    return g.select(doc, F.size("x").cast("long").alias("n_chains"), F.size(F.flatten(chains)).cast("long").alias("n_members"), named.alias("chains"), F.transform(unique_lead_first(chains), lambda m: m["name"]).alias("unique_names"))
 
 
 def previous_member(members: DataFrame, by: list[str], member: str, sentinel: str | None, pos: str = "pos") -> DataFrame:

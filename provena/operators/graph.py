@@ -81,9 +81,23 @@ def shared_by_all(members: DataFrame, group: str, chain: str, member: str) -> Da
     return own.join(n, group).where("n = n_chains").select(group, member, "n_chains")
 
 
-def side_by_side(members: DataFrame, group: str, chain: str, pos: str, member: str, chains: list) -> DataFrame:
-    """Chains as columns, places as rows."""
-    return members.groupBy(group, pos).pivot(chain, chains).agg(F.min(member))
+def side_by_side(members: DataFrame, group: str, chain: str, pos: str, member: str) -> DataFrame:
+    """Places as rows, all chains of the group beside each other: a map from chain to the member there."""
+    one = members.groupBy(group, pos, chain).agg(F.min(member).alias("m"))
+    return one.groupBy(group, pos).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(chain).alias("chain"), "m")))).alias("chains"))
+
+
+def frequent(rows: DataFrame, name: str, doc: str, k: int) -> DataFrame:
+    """The k most frequent names with links and distinct docs, ties by name."""
+    g = rows.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("links"), F.count_distinct(doc).alias("docs"))
+    return g.orderBy(F.col("links").desc(), "name").limit(k)
+
+
+def visual_edges(edges: DataFrame, doc: str, chain: str, pos: str, colours: list[str]) -> DataFrame:
+    """Edges of a drawn chain between the node ids of visual_nodes, in the chain's colour."""
+    node = lambda p: F.concat_ws("_", F.lit("n"), F.col(doc).cast("string"), F.col(chain).cast("string"), p.cast("string"))
+    c = F.array(*[F.lit(x) for x in colours])
+    return edges.select(node(F.col(pos)).alias("from_id"), node(F.col(pos) + 1).alias("to_id"), F.element_at(c, (F.col(chain) % len(colours) + 1).cast("int")).alias("colour"))
 
 
 def visual_nodes(members: DataFrame, doc: str, chain: str, pos: str, name: str, colours: list[str]) -> DataFrame:
@@ -104,6 +118,7 @@ def crawl(links: DataFrame, seeds: DataFrame, max_ids: int | None = None, rounds
     """
     from .state import materialize
 
+    links = materialize(links.select("src", "dst"), "links")  # every round reads them
     seen = materialize(seeds.select(F.col("id"), F.lit(None).cast(seeds.schema["id"].dataType).alias("discovered_from"), F.lit(0).alias("round")).distinct(), "crawl")
     front = seen
     for k in itertools.count(1):

@@ -21,8 +21,11 @@ def status_report(expected: DataFrame, status: DataFrame, key: str) -> DataFrame
     return expected.join(status, key, "left").select(key, F.coalesce("status", F.lit("missing")).alias("status"))
 
 
-def missing_in_range(seen: DataFrame, key: str, first: int, last: int) -> DataFrame:
-    """Numbers of first to last that no row has."""
+def missing_in_range(seen: DataFrame, key: str, first: int, last: int | None = None) -> DataFrame:
+    """Numbers of first to last (the largest seen by default) that no row has."""
+    if last is None:
+        last = seen.agg(F.max(F.col(key).cast("long"))).first()[0]  # one number
+        last = first - 1 if last is None else last
     return seen.sparkSession.range(first, last + 1).toDF(key).join(seen.select(F.col(key).cast("long").alias(key)), key, "left_anti")
 
 
@@ -66,6 +69,12 @@ def gap_pages(brackets: DataFrame) -> DataFrame:
     return b.select(F.explode(F.sequence(F.col("prev_page") + 1, F.col("next_page") - 1)).alias("page")).distinct()
 
 
+def expected_range(seen: DataFrame, key: str, first: int = 0) -> DataFrame:
+    """Every number from first to the largest seen, as key."""
+    last = seen.agg(F.max(F.col(key).cast("long"))).first()[0]  # one number
+    return seen.sparkSession.range(first, first if last is None else last + 1).toDF(key)
+
+
 def retryable(log: DataFrame, key: str, success: Column, final: Column) -> DataFrame:
     """Keys that never succeeded and never failed for good."""
     return log.groupBy(key).agg(F.max(success | final).alias("done")).where(~F.col("done")).select(key)

@@ -107,6 +107,22 @@ def match_text_key(docs: DataFrame, blocks: DataFrame, *, text: str = "text", si
     return out.select("doc_id", F.inline(F.arrays_zip("slots", "free"))).toDF("doc_id", "slot", "person_id")
 
 
+def resolution_type(mentions: DataFrame, key: str, kinds: list[tuple[str, Column]], default: str = "remaining") -> DataFrame:
+    """Adds type: unambiguous where no other row has the key, else the first kind that holds, else the default."""
+    single = mentions.groupBy(F.col(key).alias("u_")).agg(F.count("*").alias("c_")).where("c_ = 1").drop("c_")
+    kind = F.when(F.col("u_").isNotNull(), F.lit("unambiguous"))
+    for name, holds in kinds:
+        kind = kind.when(holds, F.lit(name))
+    return mentions.join(single, F.col(key) == F.col("u_"), "left").withColumn("type", kind.otherwise(F.lit(default))).drop("u_")
+
+
+def context_coverage(resolved: DataFrame, name: str = "name", frequency: str = "frequency") -> DataFrame:
+    """Per name: pairs and mentions, how many of them are resolved, and that share in percent. resolved: as apply_rules gives it, with a frequency."""
+    hit = F.col("status") == "resolved"
+    g = resolved.groupBy(name).agg(F.count("*").alias("pairs"), F.count_if(hit).alias("resolved_pairs"), F.sum(frequency).alias("mentions"), F.sum(F.when(hit, F.col(frequency)).otherwise(0)).alias("resolved_mentions"))
+    return g.withColumn("percent", F.round(F.lit(100.0) * F.col("resolved_mentions") / F.col("mentions"), 1))
+
+
 def unmapped(mentions: DataFrame, mapping: DataFrame, name: str, key: str) -> DataFrame:
     """Raw names whose key no mapping has, by frequency."""
     return mentions.join(mapping.select(F.col("key").alias("m_key")), F.col(key) == F.col("m_key"), "left_anti").groupBy(name).agg(F.count("*").alias("frequency"))

@@ -29,17 +29,21 @@ def token_table(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 
 def bm25(docs: DataFrame, query: str, id_col: str, fields: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score, matched of documents with any query word. Only the query's words leave the scan; lengths are one sum."""
+    """id, score, matched of every row with any query word: one scan for the counts of all rows, one for the scores, and no shuffle of rows."""
     words = list(dict.fromkeys(w for w in "".join(ch.lower() if ch.isalnum() else " " for ch in query).split()))
+    if not words:
+        return docs.limit(0).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched"))
     t = docs.select(F.col(id_col).alias("id"), F.concat(*[tokens(F.col(f)) for f in fields]).alias("t"))
-    t = t.select("id", F.size("t").alias("n"), F.explode_outer(F.filter(F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.struct(w.alias("token"), F.size(F.filter("t", lambda x: x == w)).alias("tf"))), lambda x: x["tf"] > 0)).alias("m"))
-    stats = t.select("id", "n").distinct().agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    hits = t.where("m IS NOT NULL").select("id", "n", "m.token", "m.tf")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))  # a row for each query word, and one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return scored.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    times = lambda w: F.size(F.filter("t", lambda x: x == F.lit(w)))
+    t = t.select("id", F.size("t").alias("n"), *[times(w).alias(f"tf{k}") for k, w in enumerate(words)])
+    stats = t.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(words))])
+    score, matched, any_ = F.lit(0.0), F.lit(0).cast("long"), F.lit(False)
+    for k in range(len(words)):
+        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
+        idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
+        part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+        score, matched, any_ = score + F.when(tf > 0, part).otherwise(0.0), matched + (tf > 0).cast("long"), any_ | (tf > 0)
+    return t.where(any_).crossJoin(F.broadcast(stats)).select("id", score.alias("score"), matched.alias("matched"))  # stats is one row
 
 
 def page(df: DataFrame, order: list, limit: int, skip: int = 0) -> DataFrame:

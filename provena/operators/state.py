@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; set here only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; set here only where it is unset and all is one process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file:///tmp/checkpoints/provena"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -20,3 +23,31 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_state(df: DataFrame, path: str) -> None:
+    """Replace a state table: a new version is written by Spark's committer, then named in the pointer file by one rename.
+
+    Readers see the old version or the new one, whole; a writer that is lost in between changes nothing.
+    """
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    new, now = hadoop.Path(f"{path}/next-{version}"), hadoop.Path(f"{path}/current")
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    hadoop.FileContext.getFileContext(now.toUri(), spark._jsc.hadoopConfiguration()).rename(new, now, _overwrite(spark))
+
+
+def _overwrite(spark: SparkSession):
+    kind = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    return options
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    version = spark.read.text(f"{path}/current").first()[0]
+    return spark.read.parquet(f"{path}/{version}")

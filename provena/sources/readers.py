@@ -25,7 +25,8 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str, mode: str
     reader = spark.read.schema(schema)
     if mode == "count":
         full = T.StructType(T._parse_datatype_string(schema).fields if isinstance(schema, str) else list(schema.fields)).add("_corrupt", "string")
-        return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        lines = spark.read.text(path).where(trim_ws("value") != "")
+        return lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     out = reader.option("mode", {"skip": "DROPMALFORMED", "strict": "FAILFAST"}[mode]).json(path)
     return out.where("status = 'success'") if success else out
 
@@ -84,9 +85,30 @@ def csv_sniffed(spark: SparkSession, path: str, names: tuple[str, ...] = ("hadit
 
 
 def number_rows(df: DataFrame, start: int = 1) -> DataFrame:
-    """row_no in file order: one job counts partitions, rows never move."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start))
-    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField("row_no", T.LongType())]))
+    """row_no in the order of one file: a first pass counts the rows of each partition, the second adds what stands before; rows never move."""
+    held = df.withColumn("m_", F.monotonically_increasing_id())
+    part, at = F.shiftright("m_", 33), F.col("m_").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for r in sorted(held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["p"]):  # a row for each partition
+        offsets += [F.lit(r["p"]), F.lit(before)]
+        before += r["n"]
+    skipped = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
+    return held.withColumn("row_no", (at + skipped + start).cast("long")).drop("m_")
+
+
+def csv_shape(spark: SparkSession, path: str, names: dict[str, str], id_col: str = "id", header: bool = True) -> DataFrame:
+    """A CSV in the shape that a pipeline wants: columns renamed by `names` (by their place, as _c0, _c1 ..., without a header), a sequential id from 1 where id_col is none of them."""
+    df = spark.read.option("header", header).option("multiLine", True).option("escape", '"').csv(path)
+    df = df.withColumnsRenamed(names)
+    if id_col in df.columns:
+        return df
+    return number_rows(df).withColumnRenamed("row_no", id_col).select(id_col, *df.columns)
+
+
+def label_tables(spark: SparkSession, path: str, label: str, schema: str | None = None) -> DataFrame:
+    """The rows of one label of a node or edge table that is partitioned by label: only its folder is read."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path).where(F.col("label") == label)
 
 
 def raw_lines(spark: SparkSession, path: str, header: bool = True) -> DataFrame:

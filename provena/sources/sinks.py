@@ -73,6 +73,12 @@ def write_jsonl(df: DataFrame, path: str, order: list | None = None) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, by: str) -> None:
+    """One JSON array a line for the rows of each value of `by`, non-ASCII text as it is: a grouped table of bounded groups, not a table's whole."""
+    rest = [c for c in df.columns if c != by]
+    df.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rest)))).alias("value")).select("value").write.mode("overwrite").text(path)
+
+
 def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
     """Arrays become lines of a cell; with bom each file's header starts with U+FEFF."""
     flat = df.select(*[(F.array_join(c, "\n") if kind.startswith("array") else F.col(c)).alias(("﻿" if bom and k == 0 else "") + c) for k, (c, kind) in enumerate(df.dtypes)])

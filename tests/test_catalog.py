@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from provena.plans import catalog
+from provena.plans import catalog, inventory  # noqa: F401  inventory adds its queries
 
 
 def plain(v):
