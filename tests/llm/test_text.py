@@ -292,6 +292,36 @@ def test_page_differencing(spark):
     assert main_text.extract(pages.limit(0)).collect() == []
 
 
+def test_differencing_against_brute_force(spark):
+    """Pages without an article: the nearest URL of the host, one longest common subsequence, and its lines deleted."""
+    rng = random.Random(6)
+    pages = []
+    for k in range(120):
+        host, path = rng.choice(["a.example", "b.example"]), "/" + "/".join(rng.choice(["x", "y", "zz"]) for _ in range(rng.randrange(1, 3))) + rng.choice(["", "/1", "/2"])
+        lines = rng.sample([f"line {w}" for w in range(40)], rng.randrange(0, 25))
+        if rng.random() < 0.5:
+            lines.sort()
+        pages.append((k, f"http://{host}{path}?{rng.randrange(3)}", "".join(f"<div>{x}</div>" for x in lines), host, path, lines))
+    pages += [(200, *pages[0][1:]), (201, *pages[1][1:])]
+    got = {r["page_id"]: r["text"].split("\n") if r["text"] else [] for r in main_text.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()}
+    order = sorted({(h, p, hashlib.md5(f"{u}\n{t}".encode()).digest(), t, tuple(x)) for _, u, t, h, p, x in pages if x})
+    start = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for k, url, page, host, path, lines in pages:
+        if not lines:
+            assert got[k] == []
+            continue
+        at = order.index((host, path, hashlib.md5(f"{url}\n{page}".encode()).digest(), page, tuple(lines)))
+        near = [order[i] if 0 <= i < len(order) and order[i][0] == host else None for i in (at - 1, at + 1)]
+        other = near[0] if near[0] and (not near[1] or start(path, near[0][1]) >= start(path, near[1][1])) else near[1]
+        other = list(other[4]) if other and other[3] != page else []
+        best = np.zeros((len(lines) + 1, len(other) + 1), dtype=int)
+        for i, x in enumerate(lines):
+            for j, y in enumerate(other):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        gone, it = [x for x in lines if x not in got[k]], iter(other)
+        assert got[k] == [x for x in lines if x not in gone] and len(gone) == best[-1, -1] and all(x in it for x in gone)
+
+
 def test_main_text_of_the_pages(spark, sf):
     """The generator's pages: what stands in the article element, block by block."""
     import html
