@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import SLICE_BYTES, WHITE, Memo, held, joined_cuts, prepare, ragged, slices, table, uniques
 
 #: Cells of a padded matrix, and remembered pieces of a worker.
-MATRIX_CELLS, MEMO = 1 << 19, 400_000
+MATRIX_CELLS, MEMO = 1 << 18, 200_000
 #: Bytes of a piece that is too long for a matrix.
 LONG = 1024
 NONE = np.int64(1) << 40
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for rows, buf, offsets in slices(batches, "t", 2 * SLICE_BYTES):
+        for rows, buf, offsets in slices(batches, "t", SLICE_BYTES):
             ids, ends = c.encode(buf, offsets)
             yield pa.RecordBatch.from_arrays([rows.column("d"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))], names=["d", "ids"])
 
@@ -251,7 +251,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for rows, buf, offsets in slices(batches, "t", 2 * SLICE_BYTES):
+        for rows, buf, offsets in slices(batches, "t", SLICE_BYTES):
             ids, ends = c.encode(buf, offsets)
             wire = ids.astype("<u4").tobytes()
             back = c.decode(ids)

@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import LOWER, SPACE, Steps, packed, prepare, slices, table, unpacked
 
-#: Symbols of a window and of a gram, by unit; the words of a window are the shortest passage of over 50 words.
-LENGTH, GRAM = {"bytes": 400, "words": 51}, {"bytes": 64, "words": 8}
+#: Symbols of a window and of a gram, by unit. 50 words are in every passage of over 50, even if a word at its edge is glued to its surroundings.
+LENGTH, GRAM = {"bytes": 400, "words": 50}, {"bytes": 64, "words": 8}
 #: Bytes of a symbol.
 WIDTH = {"bytes": 1, "words": 8}
 #: Contexts of a class that one task orders at once, contexts that it orders together, symbols of text whose anchors are found at once.
@@ -389,7 +389,7 @@ def _keyed(docs: DataFrame, names: list[str], text_col: str) -> DataFrame:
 def removal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "bytes", length: int | None = None, gram: int | None = None, across: bool = False, cap: int = CLASS_CAP, text: bool = False, passages: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, n_symbols (removed) and kept_sha256 of every row, or with text=True all columns with the text that is kept (invalid bytes at a cut character's edge are dropped).
 
-    passages: also n_passage_words, the words inside passages of over 50 words that stand in another row as well.
+    passages: also n_passage_words, the words inside passages of 50 words and more that stand in another row as well.
     """
     prepare(docs.sparkSession)
     length, gram = length or LENGTH[unit], gram or GRAM[unit]

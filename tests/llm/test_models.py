@@ -283,7 +283,7 @@ def test_pipeline(spark, sf):
     ids = sorted(least.values())
     texts = {r["doc_id"]: r["text"] for r in three.collect()}
     assert three.columns == docs.columns and sorted(texts) == ids
-    for i, words, gone in zip(ids, *naive_words([rows[i] for i in ids], 51, True)):
+    for i, words, gone in zip(ids, *naive_words([rows[i] for i in ids], 50, True)):
         left = texts[i].translate({c: c + 32 for c in range(65, 91)}).encode().split()
         assert [w.decode() for w in left] == [w for k, w in enumerate(words) if k not in gone]
         assert gone or texts[i] == rows[i]
