@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words that stand in several of the remaining documents go from their texts; n_chars follows."""
+    """Passages of 50 words and more that stand in several of the remaining documents go from their texts; n_chars follows."""
     return suffix_dedup.removal(docs, unit="words", across=True, text=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
