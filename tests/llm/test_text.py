@@ -292,6 +292,16 @@ def test_page_differencing(spark):
     assert main_text.extract(pages.limit(0)).collect() == []
 
 
+def test_very_long_pages():
+    """Megabytes of paragraphs, of open elements and of closing tags that match nothing take seconds."""
+    began = time.time()
+    page = "<article>" + "".join(f"<p>line {k}" for k in range(150_000)) + "</article>"
+    assert [x[0] for x in main_text.blocks(page)] == [f"line {k}" for k in range(150_000)]
+    page = "<b>x" * 100_000 + "</i>" * 100_000 + "<hr>" * 50_000 + "</p>" + "y" * 3_000_000
+    assert "".join(x[0] for x in main_text.blocks(page)) == "x" * 100_000 + "y" * 3_000_000
+    assert main_text.blocks("<div " * 200_000 + "<!-- x")[0][0] == " ".join(["<div"] * 200_000) and time.time() - began < 60
+
+
 def test_differencing_against_brute_force(spark):
     """Pages without an article: the nearest URL of the host, one longest common subsequence, and its lines deleted."""
     rng = random.Random(6)
