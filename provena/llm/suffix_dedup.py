@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -115,17 +116,17 @@ def _window_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text number, place in the text, and smallest and largest number of bytes before it of the windows laid to it."""
-    out = []
+    """Text number, place in the text, smallest and largest number of symbols before it of the windows laid to it, and the gram's hash."""
+    out, none = [], (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     doc_of = np.flatnonzero(np.diff(offsets) >= length)
     if not len(doc_of):
-        return (np.zeros(0, np.int64),) * 4
+        return none
     for start in range(0, max(1, len(buf) - length + 1), PIECE):
         piece = buf[start : start + PIECE + length - 1]
         if len(piece) < length:
             continue
-        h = _gram_hashes(piece, gram)
-        h = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+        full = _gram_hashes(piece, gram)
+        h = (full & ~np.uint64(0xFFFFFF)) | np.arange(len(full), dtype=np.uint64)
         place = (_window_minimum(h, length - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
         # windows inside one text
         first = np.searchsorted(offsets, np.arange(start, start + len(place)), side="right") - 1 if len(offsets) > 2 else None
@@ -138,8 +139,8 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(at)) - 1
-        out.append((doc[begin], place[begin] - offsets[doc[begin]], place[end] - at[end], place[begin] - at[begin]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+        out.append((doc[begin], place[begin] - offsets[doc[begin]], place[end] - at[end], place[begin] - at[begin], full[place[begin] - start]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else none
 
 
 def _hash(data) -> int:
@@ -157,20 +158,19 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, unit: str, across: boo
         owned = TaskContext.get().partitionId() << 40
         for rows, buf, offsets in slices(batches, "t", 1 << 20):
             symbols, offsets = _symbols(buf, offsets, unit)
-            doc, place, lo, hi = anchors(symbols, offsets, length, gram)
+            doc, place, lo, hi, cls = anchors(symbols, offsets, length, gram)
             view, at = memoryview(np.ascontiguousarray(symbols)).cast("B"), offsets[doc] + place
             owner = owned + (doc if across else np.arange(len(doc)))
             owned += rows.num_rows if across else len(doc)
-            cls = [_hash(view[a * w : (a + gram) * w]) for a in at.tolist()]
             ctx = [_hash(view[(a - h) * w : (a - l + length) * w]) ^ (h << 20 | l) for a, l, h in zip(at.tolist(), lo.tolist(), hi.tolist())]
-            arrays = [rows.column("tid").take(pa.array(doc)), rows.column("d").take(pa.array(doc)), pa.array(owner), pa.array(place), pa.array(lo, pa.int16()), pa.array(hi, pa.int16()), pa.array(cls, pa.int64()), pa.array(ctx, pa.int64())]
+            arrays = [rows.column("tid").take(pa.array(doc)), rows.column("d").take(pa.array(doc)), pa.array(owner), pa.array(place), pa.array(lo, pa.int16()), pa.array(hi, pa.int16()), pa.array(cls.view(np.int64)), pa.array(ctx, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["tid", "d", "owner", "place", "lo", "hi", "cls", "ctx"])
 
     kind = docs.schema["d"].dataType.simpleString()
     return docs.mapInArrow(run, f"tid binary, d {kind}, owner bigint, place bigint, lo smallint, hi smallint, cls bigint, ctx bigint")
 
 
-_MARKS = "array<struct<place:bigint,lo:smallint,hi:smallint,parts:array<struct<lo:smallint,hi:smallint,bits:binary>>>>"
+_MARKS = "array<struct<first:bigint,end:bigint>>"
 _CONTEXT = [("cls", pa.int64()), ("ctx", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int16()), ("hi", pa.int16()), ("bytes", pa.binary())]
 _CONTEXT_SQL = "cls bigint, ctx bigint, a bigint, b bigint, lo smallint, hi smallint, bytes binary"
 
@@ -181,16 +181,18 @@ def _contexts(wanted: DataFrame, length: int, unit: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, list] = {k: [] for k, _ in _CONTEXT}
-            for z, own in zip(batch.column("z"), batch.column("own")):
+            own = batch.column("own")
+            fields = {f.name: x for f, x in zip(own.values.type, own.flatten().flatten())}
+            place, lo, hi = (np.asarray(fields[k], dtype=np.int64) for k in ("place", "lo", "hi"))
+            begin, end = ((place - hi) * w).tolist(), ((place - lo + length) * w).tolist()
+            parts, k = [], 0
+            for z, n in zip(batch.column("z"), pc.list_value_length(own).to_pylist()):
                 data = unpacked(z.as_py())
                 if unit == "words":
                     data = _symbols(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), unit)[0].tobytes()
-                for x in own.as_py():
-                    for k in ("cls", "ctx", "a", "b", "lo", "hi"):
-                        found[k].append(x[k])
-                    found["bytes"].append(data[(x["place"] - x["hi"]) * w : (x["place"] - x["lo"] + length) * w])
-            yield pa.RecordBatch.from_pydict(found, schema=pa.schema(_CONTEXT))
+                parts += [data[a:b] for a, b in zip(begin[k : k + n], end[k : k + n])]
+                k += n
+            yield pa.RecordBatch.from_arrays([*[fields[c] for c, _ in _CONTEXT[:-1]], pa.array(parts, pa.binary())], schema=pa.schema(_CONTEXT))
 
     return wanted.mapInArrow(run, _CONTEXT_SQL)
 
@@ -264,29 +266,35 @@ def repeated_windows(cls: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarr
 
 
 def _ordered(contexts: DataFrame, length: int, w: int) -> DataFrame:
-    """cls, ctx, lo, hi, bits: one bit for each s from lo on, of contexts that have a repeated window."""
+    """cls, ctx, lo, hi: a row for each run of s in which a context's windows are repeated."""
 
-    def solve(rows: list[dict]) -> pa.RecordBatch:
-        cls, a, b, lo, hi = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("cls", "a", "b", "lo", "hi"))
-        hit = repeated_windows(cls, a, b, lo, hi, [r["bytes"] for r in rows], length, w)
-        out = [(r["c0"], r["x0"], r["lo"], r["hi"], np.packbits(h[r["lo"] : r["hi"] + 1]).tobytes()) for r, h in zip(rows, hit) if h.any()]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary()))], names=["cls", "ctx", "lo", "hi", "bits"])
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        cls, a, b, lo, hi = (np.asarray(rows[k], dtype=np.int64) for k in ("cls", "a", "b", "lo", "hi"))
+        hit = repeated_windows(cls, a, b, lo, hi, rows["bytes"].to_pylist(), length, w)
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, first = np.nonzero(edge == 1)
+        last = np.nonzero(edge == -1)[1] - 1
+        return pa.RecordBatch.from_arrays([rows[k].take(pa.array(row)).combine_chunks() for k in ("c0", "x0")] + [pa.array(x, pa.int16()) for x in (first, last)], names=["cls", "ctx", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        parts: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                held += batch.slice(k, 1000).to_pylist()
-                if len(held) >= GATHER:  # whole classes: the last may go on
-                    last = held[-1]["cls"]
-                    whole = next((i for i in range(len(held) - 1, -1, -1) if held[i]["cls"] != last), -1) + 1
+                parts.append(batch.slice(k, 1000))
+                n += parts[-1].num_rows
+                if n >= GATHER:  # whole classes: the last may go on
+                    held = pa.Table.from_batches(parts)
+                    cls = np.asarray(held["cls"])
+                    whole = int(np.flatnonzero(np.append(cls[:-1] != cls[-1], False)).max(initial=-1)) + 1
                     if whole:
-                        yield solve(held[:whole])
-                        held = held[whole:]
-        if held:
-            yield solve(held)
+                        yield solve(held.slice(0, whole))
+                        parts = held.slice(whole).to_batches()
+                        n -= whole
+        if n:
+            yield solve(pa.Table.from_batches(parts))
 
-    return contexts.repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "cls bigint, ctx bigint, lo smallint, hi smallint, bits binary")
+    return contexts.repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "cls bigint, ctx bigint, lo smallint, hi smallint")
 
 
 def _narrowed(contexts: DataFrame, width: int, length: int, w: int) -> DataFrame:
@@ -308,22 +316,21 @@ def _narrowed(contexts: DataFrame, width: int, length: int, w: int) -> DataFrame
 
 
 def _repeats(rows: DataFrame, steps: Steps, length: int, gram: int, unit: str, across: bool, cap: int) -> DataFrame:
-    """tid and marks: place, lo, hi and parts (bits of the windows; null: all) of each text's anchors with repeated windows. rows: tid, d (the id), t."""
+    """tid and marks: first and end symbol of the stretches of each text that its repeated windows cover. rows: tid, d (the id), t."""
     w = WIDTH[unit]
     found = steps.write(_anchor_rows(rows, length, gram, unit, across), "anchors")
     several = steps.write(found.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), "classes")
-    # Both sides of the join are read from tables, and the class gets a new name: grouping by it is a shuffle of its own, with
-    # counts made before it, so that the join's skewed partitions (a gram that very many texts have) can be split.
-    joined = found.join(several, "cls").withColumn("class", F.col("cls").bitwiseXOR(F.lit(0).cast("long"))).drop("cls")
-    groups = joined.groupBy("class", "ctx").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.min(F.struct("tid", "d", "place", "lo", "hi")).alias("r"))
-    groups = steps.write(groups.withColumnRenamed("class", "cls"), "groups")
+    # Joins are of written tables only, so that their skewed partitions (a gram that very many texts have) can be split.
+    shared = steps.write(found.join(several, "cls"), "shared")
+    steps.drop("anchors", "classes")
+    groups = steps.write(shared.groupBy("cls", "ctx").agg(F.min("owner").alias("a"), F.max("owner").alias("b"), F.min(F.struct("tid", "d", "place", "lo", "hi")).alias("r")), "groups")
     # contexts of classes that have more than one, read from the texts
-    shared = steps.write(groups.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), "shared")
-    own = groups.join(shared, "cls").groupBy("r.tid", "r.d").agg(F.collect_list(F.struct("cls", "ctx", "a", "b", "r.place", "r.lo", "r.hi")).alias("own"))
+    many = steps.write(groups.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").select("cls"), "many")
+    own = groups.join(many, "cls").groupBy("r.tid", "r.d").agg(F.collect_list(F.struct("cls", "ctx", "a", "b", "r.place", "r.lo", "r.hi")).alias("own"))
     own = own.withColumnsRenamed({"tid": "o_tid", "d": "o_d"})  # one row of each text: copies would all bring the same contexts
     wanted = packed(rows).join(own, (F.col("tid") == F.col("o_tid")) & F.col("d").eqNullSafe(F.col("o_d"))).select("z", "own")
     contexts = steps.write(_contexts(wanted, length, unit).dropDuplicates(["cls", "ctx"]).withColumns({"c0": F.col("cls"), "x0": F.col("ctx")}), "contexts")
-    solved = []
+    solved = [groups.where("a <> b").select("cls", "ctx", "r.lo", "r.hi")]
     for width in (*NARROW, 0):
         sizes = contexts.groupBy("cls").agg(F.count("*").alias("c"))
         hot = steps.write(sizes.where(F.col("c") > cap).select("cls"), f"hot-{width}")
@@ -334,45 +341,36 @@ def _repeats(rows: DataFrame, steps: Steps, length: int, gram: int, unit: str, a
         contexts = steps.write(_narrowed(contexts.join(hot, "cls", "left_semi"), width, length, w), f"narrowed-{width}")
         if width == 1:  # windows of a class are equal: those of two owners repeat
             twice = contexts.groupBy("cls").agg(F.min("a").alias("least"), F.max("b").alias("most")).where("least <> most").select("cls")
-            solved.append(contexts.join(twice, "cls").select(F.col("c0").alias("cls"), F.col("x0").alias("ctx"), "lo", "hi", F.lit(bytes([128])).alias("bits")))
+            solved.append(contexts.join(twice, "cls").select(F.col("c0").alias("cls"), F.col("x0").alias("ctx"), "lo", "hi"))
             break
     parts = solved[0]
     for x in solved[1:]:
         parts = parts.union(x)
-    once = parts.groupBy("cls", "ctx").agg(F.collect_list(F.struct("lo", "hi", "bits")).alias("parts"))
-    full = groups.where("a <> b").select("cls", "ctx", F.lit(None).cast("array<struct<lo:smallint,hi:smallint,bits:binary>>").alias("parts"))
-    repeated = full.union(once.join(full, ["cls", "ctx"], "left_anti"))
-    marks = steps.write(found.join(repeated, ["cls", "ctx"]).groupBy("tid").agg(F.collect_set(F.struct("place", "lo", "hi", "parts")).alias("marks")), f"marks-{unit}")
+    runs = steps.write(parts.withColumnsRenamed({"lo": "from", "hi": "to"}), "runs")
+    stretch = F.struct((F.col("place") - F.col("to")).alias("first"), (F.col("place") - F.col("from") + length).alias("end"))
+    marks = steps.write(shared.join(runs, ["cls", "ctx"]).groupBy("tid").agg(F.collect_set(stretch).alias("marks")), f"marks-{unit}")
     steps.drop(*[k for k in steps.paths if not k.startswith("marks")])
     return marks
 
 
-def _gone(n: int, marks: list, length: int) -> np.ndarray:
+def _gone(n: int, marks: pa.ListScalar) -> np.ndarray:
     """For each of n symbols whether a repeated window holds it."""
-    edge = np.zeros(n + 1, dtype=np.int32)
-    for m in marks:
-        if m["parts"] is None:
-            edge[m["place"] - m["hi"]] += 1
-            edge[m["place"] - m["lo"] + length] -= 1
-            continue
-        for p in m["parts"]:
-            starts = m["place"] - p["lo"] - np.flatnonzero(np.unpackbits(np.frombuffer(p["bits"], dtype=np.uint8))[: p["hi"] - p["lo"] + 1])
-            edge[starts] += 1
-            edge[starts + length] -= 1
+    first, end = (np.asarray(x) for x in marks.values.flatten())
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(data: bytes, marks: list | None, length: int, unit: str) -> tuple[bytes, int, int, int]:
+def _cut(data: bytes, marks: pa.ListScalar, unit: str) -> tuple[bytes, int, int, int]:
     """What is kept, bytes removed, runs removed, symbols removed. White space after removed words goes with them."""
-    if not marks:
+    if not marks.is_valid or not len(marks):
         return data, 0, 0, 0
     buf = np.frombuffer(data, dtype=np.uint8)
     if unit == "bytes":
-        gone = _gone(len(buf), marks, length)
+        gone = _gone(len(buf), marks)
         n = int(gone.sum())
     else:
         starts, ends = words(buf, np.array([0, len(buf)]))
-        hit = _gone(len(starts), marks, length)
+        hit = _gone(len(starts), marks)
         n = int(hit.sum())
         gone = np.zeros(len(buf), dtype=bool)
         gone[starts[0] :] = np.repeat(hit, np.diff(np.append(starts, len(buf))))
@@ -397,15 +395,16 @@ def removal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = _keyed(docs, names, text_col)
     read, steps = _keyed(docs, [id_col], text_col).select("tid", F.col(f"x.`{id_col}`").alias("d"), "t"), Steps(docs.sparkSession)
     marks = _repeats(read, steps, length, gram, unit, across, cap).withColumn("more", F.lit(None).cast(_MARKS))
-    if passages:  # one row a text again, so that the texts are joined once
+    if passages:  # one row a text again, so that the texts are joined once; written, so that copies of a text can be split in that join
         more = _repeats(read, steps, LENGTH["words"], GRAM["words"], "words", True, cap).select("tid", F.lit(None).cast(_MARKS).alias("marks"), F.col("marks").alias("more"))
-        marks = marks.union(more).groupBy("tid").agg(F.first("marks", True).alias("marks"), F.first("more", True).alias("more"))
+        marks = steps.write(marks.union(more).groupBy("tid").agg(F.first("marks", True).alias("marks"), F.first("more", True).alias("more")), "marks")
+        steps.drop("marks-bytes", "marks-words")
     marks = marks.withColumnRenamed("tid", "m_tid")
     joined = packed(rows).join(marks, F.col("tid") == F.col("m_tid"), "left").select("x", "z", "marks", "more")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if not z.is_valid else _cut(unpacked(z.as_py()), m.as_py(), length, unit)[0].decode(errors="ignore") for z, m in zip(batch.column("z"), batch.column("marks"))]
+            texts = [None if not z.is_valid else _cut(unpacked(z.as_py()), m, unit)[0].decode(errors="ignore") for z, m in zip(batch.column("z"), batch.column("marks"))]
             yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array(texts, pa.string())], names=["x", "t"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,8 +412,8 @@ def removal(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             out = []
             for z, m, more in zip(batch.column("z"), batch.column("marks"), batch.column("more")):
                 data = unpacked(z.as_py())
-                keep, removed, runs, n = _cut(data, m.as_py(), length, unit)
-                out.append((len(data), removed, runs, n, hashlib.sha256(keep).hexdigest(), _cut(data, more.as_py(), LENGTH["words"], "words")[3]))
+                keep, removed, runs, n = _cut(data, m, unit)
+                out.append((len(data), removed, runs, n, hashlib.sha256(keep).hexdigest(), _cut(data, more, "words")[3]))
             columns = zip(*out) if out else ((),) * 6
             yield pa.RecordBatch.from_arrays([batch.column("x"), *[pa.array(c, t) for c, t in zip(columns, (*(pa.int64(),) * 4, pa.string(), pa.int64()))]], names=["x", *made])
 
