@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import chains, graph, html, quality, resolve
 from ..operators.state import read_state, shared_folder, write_state
 from ..sources import readers, sinks
+from ..streaming import status
 from .adapter import MEMBER, SPLIT
 from .catalog import query
 
@@ -285,17 +286,19 @@ def res03(t):
     return resolve.context_coverage(resolve.apply_rules(pairs, _rules(t)))
 
 
-@query("res05_jn10_prefixes", """WITH owner AS (SELECT p_name AS key, count(DISTINCT p_partkey) AS n, min(p_partkey) AS id FROM part GROUP BY p_name),
-second AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS key, p_brand AS id FROM part), s AS (SELECT key, count(*) AS n, min(id) AS id FROM second GROUP BY key),
-m AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS key FROM part), w AS (SELECT key, string_split(key, ' ') AS t FROM m),
+@query("res05_jn10_prefixes", """WITH owner AS (SELECT p_name || ' ' || p_brand || ' ' || cast(p_size AS varchar) AS key, count(DISTINCT p_partkey) AS n, min(p_partkey) AS id FROM part GROUP BY 1),
+second AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS key, 'first ' || string_split(p_name, ' ')[1] AS id FROM part WHERE p_size > 20), s AS (SELECT key, count(*) AS n, min(id) AS id FROM second GROUP BY key),
+m AS (SELECT DISTINCT p_name || ' ' || p_brand || ' ' || cast(p_size AS varchar) || ' ' || p_type AS key FROM part), w AS (SELECT key, string_split(key, ' ') AS t FROM m),
 tries AS (SELECT key, len(t) - i AS rank, array_to_string(t[1:i], ' ') AS prefix FROM w, LATERAL unnest(range(1, len(t) + 1)) u(i)),
 hit AS (SELECT tries.key, rank, prefix, coalesce(CASE WHEN o.n = 1 THEN cast(o.id AS varchar) END, CASE WHEN s.n = 1 THEN s.id END) AS id FROM tries LEFT JOIN owner o ON prefix = o.key LEFT JOIN s ON prefix = s.key)
 SELECT key, arg_min(id, rank) AS person_id, arg_min(prefix, rank) AS matched FROM hit WHERE id IS NOT NULL GROUP BY key""")
 def res05(t):
     """Full names and ever shorter prefixes of them against two lookups; the tests hold the choice among shared prefixes."""
-    primary = resolve.exact_lookup(t.part.select(F.col("p_name").alias("key"), F.col("p_partkey").cast("string").alias("person_id")))
-    first = t.part.select(F.split("p_name", " ")[0].alias("key"), F.col("p_brand").alias("person_id")).distinct()
-    names = t.part.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("key"))
+    full = F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string"))
+    primary = resolve.exact_lookup(t.part.select(full.alias("key"), F.col("p_partkey").cast("string").alias("person_id")))
+    word = F.split("p_name", " ")[0]
+    first = t.part.where("p_size > 20").select(word.alias("key"), F.concat(F.lit("first "), word).alias("person_id")).distinct()
+    names = t.part.select(F.concat_ws(" ", full, "p_type").alias("key"))
     return resolve.match_prefix(names, primary, resolve.exact_lookup(first), t.part.limit(0).select(F.col("p_name").alias("key"), F.col("p_brand").alias("person_id")))
 
 
@@ -521,3 +524,16 @@ def grf20(t):
 @query("cov02_expected_numbers", "SELECT unnest(range(0, (SELECT max(user_id) FROM events) + 1)) AS user_id")
 def cov02(t):
     return quality.expected_range(t.events, "user_id")
+
+
+# an extension: the append log as a stream
+
+
+@query("str01_streamed_status", "SELECT user_id AS k, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
+def str01(t):
+    """The log as JSON files, read as a stream in several batches into a table of the latest status of each key."""
+    path = _path(t, "log")
+    t.events.select(F.col("user_id").alias("k"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")).repartition(4).write.json(path)
+    log = status.read_log(t.spark, path, "k long, status string, seq long", 2)
+    status.keep_latest(log, "k", "status", "seq", f"{path}-table", f"{path}-checkpoint").awaitTermination()
+    return status.current(t.spark, f"{path}-table").select("k", "status")
