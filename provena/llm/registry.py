@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, hash_forest, language, main_text, simhash, suffix_dedup, token_files, toxicity
+from . import bpe, chat, decontaminate, fim, hash_forest, language, main_text, quality, simhash, spelling, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_hash_forest": hash_forest.query,
     "op10_language": language.query,
+    "op11_quality": quality.query,
+    "op12_spelling": spelling.query,
+    "op13_fim": fim.query,
 }
-SQL = {"op1_decontaminate": decontaminate.SQL, "op4_chat": chat.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op4_chat": chat.SQL, "op12_spelling": spelling.SQL, "op13_fim": fim.SQL}
