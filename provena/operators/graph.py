@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,6 +48,73 @@ def bounded_paths(edges: DataFrame, start: DataFrame, depth: int, end: Column |
     return found if end is None else found.where(end)
 
 
+def reach(edges: DataFrame, start: DataFrame, end: DataFrame, hops: int) -> DataFrame:
+    """node, after (fewest edges from any start) and before (fewest to any end) of the nodes that either side reaches within `hops`; null: not reached.
+
+    Both searches share their rounds; a round moves the nodes that the one before found, never trails, and is written.
+    """
+    from .state import materialize
+
+    out = edges.select(F.lit(True).alias("onward"), F.col("src").alias("node"), F.col("dst").alias("other"))
+    steps = materialize(out.union(edges.select(F.lit(False), "dst", "src")).distinct(), "steps")
+    front = start.select(F.lit(True).alias("onward"), "node").union(end.select(F.lit(False), "node")).distinct()
+    front = seen = materialize(front.withColumn("d", F.lit(0)), "reached")
+    for k in range(1, hops + 1):
+        new = front.join(steps, ["onward", "node"]).select("onward", F.col("other").alias("node")).distinct()
+        front = materialize(new.join(seen.select("onward", "node"), ["onward", "node"], "left_anti").withColumn("d", F.lit(k)), "reached")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen.groupBy("node").agg(F.min(F.when(F.col("onward"), F.col("d"))).alias("after"), F.min(F.when(~F.col("onward"), F.col("d"))).alias("before"))
+
+
+def paths_between(edges: DataFrame, start: DataFrame, end: DataFrame, depth: int, work: list | None = None) -> DataFrame:
+    """All trails of 1 to depth edges from a start node to an end node: start, end, length, nodes, eids; no edge is used twice, nodes may be.
+
+    The search goes from both ends. Distances of nodes come first (reach), and only edges on some walk from a start to an end
+    of at most depth edges stay. Over these, trails grow from the starts up to half the depth, and from the ends backwards up to
+    the other half; either drops a trail as soon as the other end is farther than the edges that are left. A trail of up to half
+    the depth is a forward one that stands on an end; each longer one is a forward half of full length and a backward rest that
+    meet in one node and share no edge. Partial trails thus grow as degree^(depth/2), whole ones are only those asked for.
+
+    start, end: node. Edges with a null end are on no trail; repeated start or end nodes count once. work, a list, gets a
+    (step, rows) for each table that the search wrote.
+    """
+    from .state import materialize
+
+    if depth < 1:
+        raise ValueError("depth is at least 1")
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        df = materialize(df, "trails")
+        if work is not None:
+            work.append((what, df.count()))
+        return df
+
+    kind = edges.schema["eid"].dataType.simpleString()
+    e = materialize(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("eid", "src", "dst"), "edges")
+    start, end = (x.where("node IS NOT NULL").select("node").distinct() for x in (start, end))
+    near = materialize(reach(e, start, end, depth - 1), "near")
+    live = e.join(near.select(F.col("node").alias("src"), "after"), "src").join(near.select(F.col("node").alias("dst"), "before"), "dst")
+    live = kept(live.where(F.col("after") + 1 + F.col("before") <= depth).select("eid", "src", "dst", "after", "before"), "edges")
+    half = (depth + 1) // 2
+    none = F.array().cast(f"array<{kind}>")
+
+    now, found = start.select(F.col("node").alias("start"), F.col("node").alias("end"), F.array("node").alias("nodes"), none.alias("eids")), []
+    for k in range(1, half + 1):
+        step = now.join(live, (F.col("end") == F.col("src")) & (F.col("before") + k <= depth) & ~F.array_contains("eids", F.col("eid")))
+        step = step.select("start", F.col("dst").alias("end"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("eids", F.array("eid")).alias("eids"), F.col("before").alias("left"))
+        now = kept(step, f"forward {k}")
+        found.append(now.where("left = 0").select("start", "end", F.lit(k).alias("length"), "nodes", "eids"))
+    back = end.select(F.col("node").alias("begin"), F.col("node").alias("last"), F.array("node").alias("then"), none.alias("used"))
+    for k in range(1, depth - half + 1):
+        step = back.join(live, (F.col("begin") == F.col("dst")) & (F.col("after") + k <= depth) & ~F.array_contains("used", F.col("eid")))
+        back = kept(step.select(F.col("src").alias("begin"), "last", F.concat(F.array("src"), "then").alias("then"), F.concat(F.array("eid"), "used").alias("used")), f"backward {k}")
+        whole = now.join(back, (F.col("end") == F.col("begin")) & ~F.arrays_overlap("eids", "used"))
+        found.append(whole.select("start", F.col("last").alias("end"), F.lit(half + k).alias("length"), F.concat("nodes", F.slice("then", 2, k)).alias("nodes"), F.concat("eids", "used").alias("eids")))
+    return reduce(DataFrame.union, found)
+
+
 def hop_distances(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """start, node, distance of the nodes within `hops` undirected steps; each (start, node) once, by its shortest distance."""
     both = undirected(edges).select("node", "other").distinct()

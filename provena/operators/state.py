@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 
@@ -19,8 +20,28 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # the session has ended: the folder's owner cleans up
+        pass
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder name in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    atexit.register(_remove_at_exit, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    """df written once and read back: short lineage that survives lost executors. The table goes when the driver ends, since results are lazy."""
+    path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

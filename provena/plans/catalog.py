@@ -687,6 +687,19 @@ def grf13(t):
     return p.select("start", "end", "length", F.array_join("nodes", ",").alias("nodes"))
 
 
+@query("grf13_paths_between_names", f"""WITH RECURSIVE {PART_EDGE}, live AS (SELECT doc_id * 1000 + pos AS eid, src, dst FROM edge JOIN orders ON doc_id = o_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')),
+walk AS (SELECT p_partkey AS start, p_partkey AS last, 0 AS length, cast(p_partkey AS varchar) AS nodes, cast([] AS bigint[]) AS eids FROM part WHERE contains(p_name, 'old anvil')
+  UNION ALL SELECT start, dst, length + 1, nodes || ',' || cast(dst AS varchar), list_append(eids, eid) FROM walk JOIN live ON last = src WHERE length < 8 AND NOT list_contains(eids, eid))
+SELECT start, last AS "end", length, nodes, array_to_string(list_transform(eids, lambda x: cast(x AS varchar)), ',') AS eids FROM walk JOIN part ON last = p_partkey WHERE contains(p_name, 'hot ring') AND length > 0""")
+def grf13_names(t):
+    """Paths of up to 8 edges between two name patterns, all edges of finished orders of the two highest priorities."""
+    docs = t.orders.where("o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')").select(F.col("o_orderkey").alias("doc_id"))
+    e = t.edges("part_id").join(docs, "doc_id", "left_semi").select((F.col("doc_id") * 1000 + F.col("pos")).alias("eid"), "src", "dst")
+    named = lambda x: t.part.where(search.contains("p_name", x)).select(F.col("p_partkey").alias("node"))
+    p = graph.paths_between(e, named("old anvil"), named("hot ring"), 8)
+    return p.select("start", "end", "length", F.array_join("nodes", ",").alias("nodes"), F.array_join("eids", ",").alias("eids"))
+
+
 @query("grf14_bios", f"WITH {MEMBER} SELECT doc_id, pos, s_name, s_acctbal FROM member JOIN supplier ON person_id = s_suppkey")
 def grf14(t):
     s = t.supplier.select(F.col("s_suppkey").alias("person_id"), "s_name", "s_acctbal")
@@ -863,12 +876,6 @@ def grf05(t):
     return e.join(last, "doc_id").select("doc_id", "pos", F.col("src").alias("start"), "last", (F.col("end") - F.col("pos") + 1).alias("length"))
 
 
-@query("grf20_introspection", "SELECT * FROM (VALUES ('region', 'r_name', 'string'), ('region', 'r_regionkey', 'int'), ('supplier', 's_acctbal', 'double'), ('supplier', 's_name', 'string'), ('supplier', 's_nationkey', 'int'), ('supplier', 's_suppkey', 'bigint')) v(label, property, type)")
-def grf20(t):
-    rows = [(n, c, kind) for n in ("region", "supplier") for c, kind in getattr(t, n).dtypes]
-    return t.spark.createDataFrame(rows, "label string, property string, type string")
-
-
 @query("grf28_top_leads", f"WITH {MEMBER} SELECT s_name AS lead, count(DISTINCT doc_id) AS docs FROM member JOIN supplier ON person_id = s_suppkey WHERE pos = 0 GROUP BY s_name ORDER BY docs DESC, lead LIMIT 15")
 def grf28(t):
     m = t.members().where("pos = 0").join(t.supplier.select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("lead")), "person_id")
