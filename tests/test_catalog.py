@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from provena.plans import catalog, inventory  # noqa: F401  inventory adds its queries
+from provena.plans import catalog, inventory, stored  # noqa: F401  the others add their queries
 
 
 def plain(v):
