@@ -40,10 +40,10 @@ def terminal_members(members: DataFrame, by: list[str], pos: str = "pos") -> Dat
     return members.withColumn("n_", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(pos).desc()))).where("n_ = 1").drop("n_")
 
 
-def edge_aggregate(edges: DataFrame, doc: str, order: str | None = None) -> DataFrame:
-    """src, dst, n_docs (distinct) and doc_ids in order of first appearance (order, or the document)."""
-    first = edges.groupBy("src", "dst", doc).agg(F.min(order or doc).alias("o_"))
-    return first.groupBy("src", "dst").agg(F.count("*").alias("n_docs"), F.transform(F.array_sort(F.collect_list(F.struct("o_", F.col(doc).alias("d_")))), lambda x: x["d_"]).alias("doc_ids"))
+def edge_aggregate(edges: DataFrame, doc: str, order: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, src, dst, n_docs (distinct) and doc_ids in order of first appearance (order, or the document). by: what document numbers are unique within, such as the source."""
+    first = edges.groupBy(*by, "src", "dst", doc).agg(F.min(order or doc).alias("o_"))
+    return first.groupBy(*by, "src", "dst").agg(F.count("*").alias("n_docs"), F.transform(F.array_sort(F.collect_list(F.struct("o_", F.col(doc).alias("d_")))), lambda x: x["d_"]).alias("doc_ids"))
 
 
 def first_occurrence(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -130,7 +130,7 @@ def ingest(docs: DataFrame) -> dict[str, DataFrame]:
         "chains": chain_table(split, key, "name", "chain_pos"),
         "members": split.select(*key, F.col("chain_pos").alias("pos"), "norm"),
         "edges": edges,
-        "edge_counts": edge_aggregate(edges.withColumn("src", F.col("src")), "doc_index"),
+        "edge_counts": edge_aggregate(edges, "doc_index", by=("source",)),
         "leads": split.where("chain_pos = 0").select(*key, "norm"),
         "errors": errors,
     }

@@ -222,12 +222,14 @@ def chn13(t):
     return chains.occurrence_export(m, "name", ["doc_id", "line", "l_partkey"]).select("name", "doc_id", "line", "occurrence_count")
 
 
-@query("chn15_numbered_blocks", rf"""SELECT doc_id, doc_id AS number, md5({_sql_arabic("text")}) AS body, md5(regexp_replace({_sql_arabic("text")}, '{WIDE}', '', 'g')) AS plain FROM documents WHERE regexp_matches(text, '^[A-Za-z](?s:.*)[a-z.]$')""")
+@query("chn15_numbered_blocks", rf"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN {_sql_digits("doc_id")} || ' - ' ELSE '' END || {_sql_arabic("coalesce(text, '')")} AS block FROM documents),
+x AS (SELECT doc_id, block, regexp_replace(regexp_replace(regexp_replace(block, '^[{T.ARABIC_DIGITS}0-9\s]+{T.DASH}+\s*', ''), '^\s+', ''), '\s+$', '') AS body FROM b)
+SELECT doc_id, coalesce(try_cast(translate(regexp_extract(regexp_replace(block, '^\s+', ''), '^([{T.ARABIC_DIGITS}0-9]+)', 1), '{T.ARABIC_DIGITS}', '0123456789') AS int)::bigint, CASE WHEN doc_id % 2 = 0 THEN doc_id END) AS number,
+  md5(body) AS body, md5(regexp_replace(body, '{WIDE}', '', 'g')) AS plain FROM x""")
 def chn15(t):
-    """Numbered page blocks: odd ids as Arabic digits before the text, the others as the page's fallback."""
-    d = t.documents.where(F.col("text").rlike("^[A-Za-z](?s:.*)[a-z.]$"))
+    """Numbered page blocks of all texts: odd ids as Arabic digits before the text, the others as the page's fallback."""
     head = F.when(F.col("doc_id") % 2 == 1, F.concat(_digits(F.col("doc_id")), F.lit(" - "))).otherwise(F.lit(""))
-    blocks = d.select("doc_id", F.concat(head, _arabic(F.col("text"))).alias("block"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("page_number"))
+    blocks = t.documents.select("doc_id", F.concat(head, _arabic(F.coalesce("text", F.lit("")))).alias("block"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("page_number"))
     x = chains.hadith_page(blocks, "block", "page_number")
     return x.select("doc_id", F.col("number").cast("long").alias("number"), F.md5("body").alias("body"), F.md5("plain").alias("plain"))
 

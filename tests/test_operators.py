@@ -35,6 +35,8 @@ def test_ingest(spark):
     assert [(r["pos"], r["src"], r["dst"]) for r in t["edges"].collect()] == [(1, "عمر", "ابو بكر")]
     assert {(r["doc_index"], r["formatted"]) for r in t["chains"].collect()} == {(1, "عمر → أبو بكر"), (2, "ابو بكر")}
     assert t["leads"].count() == 2 and t["edge_counts"].count() == 1
+    other = chains.ingest(spark.createDataFrame([*rows, ("z", 1, "t1", rows[0][3]), ("z", 2, "t2", rows[0][3])], f"source string, doc_index int, text string, members {member}"))
+    assert sorted((r["source"], r["n_docs"], r["doc_ids"]) for r in other["edge_counts"].collect()) == [("s", 1, [1]), ("z", 2, [1, 2])]
 
 
 def test_validation(spark):
