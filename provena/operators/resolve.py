@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import token_prefixes
 
+#: Characters of the pieces by which contexts meet the patterns of rules; shorter patterns are met by themselves.
+GRAM = 3
+
 
 def exact_lookup(names: DataFrame, key: str = "key", id_col: str = "person_id") -> DataFrame:
     """key, n_ids, and person_id where the key has one id only; variants: all ids, sorted."""
@@ -47,24 +50,114 @@ def cascade(mentions: DataFrame, passes: list[tuple[str, DataFrame, list[str]]],
     return out.withColumns({"new_id_": F.coalesce(*[c for c, _ in found]), "resolution": tag}).drop(*drop, *([existing] if existing == "person_id" else [])).withColumnRenamed("new_id_", "person_id")
 
 
-def apply_rules(mentions: DataFrame, rules: DataFrame, name: str = "name", context: str = "context") -> DataFrame:
-    """Ordered rules as data: kind, name, pattern, value, priority (smaller first).
+def apply_rules(mentions: DataFrame, rules: DataFrame, name: str = "name", context: str = "context", work: dict | None = None) -> DataFrame:
+    """Ordered rules as data: kind, name, pattern, value, priority (smaller first; equal ones by kind, pattern and value).
 
     exact: the name alone; context: the pattern is a substring of the context; default: where no context rule of the name
     holds; pair: name and context are equal to name and pattern (kinship, say). A null value stops with no result, a value
     marked ambiguous=true gives status ambiguous and no value. Adds value and status (resolved, ambiguous, unresolved).
+
+    A pair rule is met by name and pattern, of a name's exact and default rules only the first counts, and a context rule is met
+    by name and one q-gram of its pattern, the one that fewest patterns of the name have: a context meets the rules whose
+    gram it contains, never all rules of its name, and those met are verified. work, a dict, gets pairs (distinct name and
+    context) and candidates (context rules met).
     """
-    r = rules.select(*[F.col(c).alias(f"r_{c}") for c in ("kind", "name", "pattern", "value", "priority", "ambiguous")])
-    ctx = F.coalesce(F.col(context), F.lit(""))
-    holds = F.col("r_kind").isin("exact", "default") | ((F.col("r_kind") == "context") & ctx.contains(F.col("r_pattern"))) | ((F.col("r_kind") == "pair") & (ctx == F.col("r_pattern")))
-    pairs = mentions.select(name, context).distinct()
-    best = pairs.join(r, (F.col(name) == F.col("r_name")) & holds).groupBy(name, context).agg(F.min_by(F.struct("r_value", "r_ambiguous"), F.col("r_priority")).alias("b"))
-    best = best.select(F.col(name).alias("b_name"), F.col(context).alias("b_context"), "b", F.lit(True).alias("hit"))
-    out = mentions.join(best, F.col(name).eqNullSafe(F.col("b_name")) & F.col(context).eqNullSafe(F.col("b_context")), "left")
+    from .state import materialize
+
+    fields = ["kind", "name", "pattern", "value", "priority", "ambiguous"]
+    r = rules.select(*[F.col(c).alias(f"r_{c}") for c in fields])
+    verdict = F.struct("r_priority", "r_kind", "r_pattern", "r_value", "r_ambiguous").alias("v")
+    pairs = materialize(mentions.select(F.col(name).alias("m_name"), F.col(context).alias("m_context")).distinct(), "rule-pairs")
+    ctx = F.coalesce("m_context", F.lit(""))
+
+    plain = r.where(F.col("r_kind").isin("exact", "default") | ((F.col("r_kind") == "context") & (F.col("r_pattern") == "")))
+    plain = plain.groupBy("r_name").agg(F.min(verdict).alias("v"))
+    found = pairs.join(plain, F.col("m_name") == F.col("r_name")).select("m_name", "m_context", "v")
+    twins = r.where("r_kind = 'pair'").select("r_name", F.col("r_pattern").alias("r_at"), verdict)
+    found = found.unionByName(pairs.join(twins, (F.col("m_name") == F.col("r_name")) & (ctx == F.col("r_at"))).select("m_name", "m_context", "v"))
+
+    grams = lambda text, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, q)))
+    size = F.least(F.length("r_pattern"), F.lit(GRAM))
+    ordered = r.where("r_kind = 'context' AND r_pattern <> ''").withColumn("v", verdict)
+    each = ordered.select("r_name", "r_pattern", F.explode(grams(F.col("r_pattern"), size)).alias("gram")).distinct()
+    common = each.groupBy("r_name", "gram").agg(F.count("*").alias("n"))
+    rarest = each.join(common, ["r_name", "gram"]).groupBy("r_name", "r_pattern").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    index = materialize(ordered.join(rarest, ["r_name", "r_pattern"]).select("r_name", "gram", "r_pattern", "v"), "rule-index")
+    lengths = [x["q"] for x in index.select(F.length("gram").alias("q")).distinct().collect()]  # GRAM numbers at most
+    if lengths:
+        asked = pairs.where("m_context <> ''").join(index.select(F.col("r_name").alias("m_name")).distinct(), "m_name", "left_semi")
+        own = F.concat(*[F.when(F.length("m_context") >= q, grams(F.col("m_context"), F.lit(q))).otherwise(F.array().cast("array<string>")) for q in lengths])
+        met = asked.select("m_name", "m_context", F.explode(own).alias("gram")).join(index.withColumnRenamed("r_name", "m_name"), ["m_name", "gram"])
+        if work is not None:
+            work |= {"pairs": pairs.count(), "candidates": met.count()}
+        found = found.unionByName(met.where(F.col("m_context").contains(F.col("r_pattern"))).select("m_name", "m_context", "v"))
+    best = found.groupBy("m_name", "m_context").agg(F.min("v").alias("b")).withColumn("hit", F.lit(True))
+    out = mentions.join(best, F.col(name).eqNullSafe(F.col("m_name")) & F.col(context).eqNullSafe(F.col("m_context")), "left")
     vague = F.coalesce(F.col("b.r_ambiguous"), F.lit(False))
     value = F.when(~vague, F.col("b.r_value"))
     status = F.when(vague, F.lit("ambiguous")).when(value.isNotNull(), F.lit("resolved")).otherwise(F.lit("unresolved"))
-    return out.withColumns({"value": value, "status": status}).drop("b_name", "b_context", "b", "hit")
+    return out.withColumns({"value": value, "status": status}).drop("m_name", "m_context", "b", "hit")
+
+
+def open_prefixes(names: DataFrame, known: DataFrame, parts: int | None = None) -> DataFrame:
+    """key, rank, prefix: the known prefixes of each name, by whole tokens, as far as the first sure one, the longest first; rank is the tokens left out.
+
+    names: key; known: key, sure; both distinct and not empty. Both sides are sorted together, so that what a key is a prefix of follows it
+    directly, and one pass keeps the stack of keys that are still open. Nothing but names and keys is shuffled, no prefix is made
+    that nobody knows. A range may begin inside a key's names: the known prefixes of its first row, one row for each range, are
+    looked up apart and given to those names that share them.
+    """
+    from .state import materialize
+
+    spark = names.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = known.select("key", F.when(F.col("sure"), 2).otherwise(1).alias("kind")).union(names.select("key", F.lit(0)))
+    order = F.concat("key", F.lit(" "))
+    rows = rows.repartitionByRange(parts, order).sortWithinPartitions(order, F.col("kind").desc())
+
+    def walk(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, first, open_ = TaskContext.get().partitionId(), None, []  # open_: (key, sure) of the keys that begin the present row
+        for batch in batches:
+            keys, cuts, shared, firsts = [], [], [], []
+            for key, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                begins = first is None
+                first = key if begins else first
+                while open_ and key != open_[-1][0] and not key.startswith(open_[-1][0] + " "):
+                    open_.pop()
+                if kind:
+                    open_.append((key, kind == 2))
+                if kind and not begins:
+                    continue
+                mine = []
+                for k, sure in reversed(open_) if not kind else ():
+                    mine.append(len(k))
+                    if sure:
+                        break
+                common = 0  # characters of the first row's tokens that this name begins with
+                a, b = first + " ", key + " "
+                if not (mine and open_[-len(mine)][1]):
+                    while (end := a.find(" ", common)) >= 0 and a[: end + 1] == b[: end + 1]:
+                        common = end + 1
+                if mine or common or begins:
+                    keys.append(key)
+                    cuts.append(mine)
+                    shared.append(-1 if kind else common - 1)
+                    firsts.append(begins)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.string()), pa.array(cuts, pa.list_(pa.int32())), pa.array(shared, pa.int32()), pa.array(firsts)], names=["part", "key", "cuts", "shared", "first"])
+
+    found = materialize(rows.mapInArrow(walk, "part int, key string, cuts array<int>, shared int, first boolean"), "open-prefixes")
+    begin = found.where("first").select("part", F.explode(token_prefixes(F.split("key", " "))).alias("prefix"))  # a row for each range and token
+    before = begin.join(known.select(F.col("key").alias("prefix")), "prefix").groupBy("part").agg(F.collect_set(F.length("prefix")).alias("before"))
+    out = found.where("shared >= 0 OR size(cuts) > 0").join(before, "part", "left")
+    # a first name's own stack has it alone, so what lies before a range is never in the stacks of the range
+    lens = F.concat("cuts", F.filter(F.coalesce("before", F.array().cast("array<int>")), lambda n: n <= F.col("shared")))
+    out = out.select("key", F.explode(F.array_distinct(lens)).alias("n")).select("key", F.substring(F.col("key"), F.lit(1), F.col("n")).alias("prefix"))
+    spaces = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit(" "), F.lit("")))
+    return out.select("key", (spaces("key") - spaces("prefix")).alias("rank"), "prefix")
 
 
 def match_prefix(mentions: DataFrame, primary: DataFrame, secondary: DataFrame, variants: DataFrame, key: str = "key") -> DataFrame:
@@ -75,8 +168,8 @@ def match_prefix(mentions: DataFrame, primary: DataFrame, secondary: DataFrame,
     the name starts with, else the one id without a longer variant that contradicts it. variants: key, person_id.
     """
     names = mentions.select(F.col(key).alias("key")).where("key <> ''").distinct()
-    tokens = F.split("key", " ")
-    tries = names.select("key", F.posexplode(F.concat(F.array(F.col("key")), token_prefixes(tokens))).alias("rank", "prefix"))
+    known = primary.where("n_ids = 1").select("key", F.lit(True).alias("sure")).union(secondary.select("key", F.col("n_ids") == 1))
+    tries = open_prefixes(names, known.where("key <> ''").groupBy("key").agg(F.max("sure").alias("sure")))
     a = primary.where("n_ids = 1").select(F.col("key").alias("prefix"), F.col("person_id").alias("a_id"))
     b = secondary.select(F.col("key").alias("prefix"), F.col("person_id").alias("b_id"), (F.col("n_ids") > 1).alias("shared"))
     tried = tries.join(a, "prefix", "left").join(b, "prefix", "left")
