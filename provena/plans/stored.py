@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import counts
+from ..operators.pages import Paged
 from ..operators.state import scratch
 from ..operators.store import Store
 from ..operators.text_index import TextIndex
+from ..streaming import retries
 from .adapter import EDGE
 from .catalog import query
 
@@ -65,3 +67,26 @@ def stored_counts(t):
     for batch, rows in (("urgent", e.where(urgent)), ("others", e.where(~urgent)), ("urgent", e.where(urgent)), ("gone", e.where("priority = '5-LOW'").withColumn("change", F.lit(-1)))):
         counts.apply(store, batch, rows, 16)
     return counts.pairs(store)
+
+
+@query("srt05_grf30_page_with_total", """WITH p AS (SELECT o_orderdate, o_orderkey, o_orderpriority FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 740),
+n AS (SELECT o_orderdate, o_orderkey, o_orderpriority FROM orders WHERE (o_orderdate, o_orderkey) > (SELECT max((o_orderdate, o_orderkey)) FROM p) ORDER BY o_orderdate, o_orderkey LIMIT 20)
+SELECT 'page 38' AS page, (SELECT count(*) FROM orders) AS total, * FROM p UNION ALL SELECT 'after', (SELECT count(*) FROM orders), * FROM n""")
+def pages_with_total(t):
+    """A page by its number and the next one by the last key, each with the total, from ranges whose counts and bounds are stored."""
+    paged = Paged(t.orders.select("o_orderdate", "o_orderkey", "o_orderpriority"), ["o_orderdate", "o_orderkey"], 16)
+    page, total = paged.page(38, 20)
+    last = page.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).select("o_orderdate", "o_orderkey").first()
+    named = lambda df, what: df.select(F.lit(what).alias("page"), F.lit(total).cast("long").alias("total"), "*")
+    return named(page, "page 38").union(named(paged.after(tuple(last), 20)[0], "after"))
+
+
+@query("cov10_streamed_retries", "WITH l AS (SELECT user_id, max(struct_pack(t := ts, e := event_id)) FILTER (event_type = 'purchase') AS last FROM events GROUP BY user_id) SELECT e.user_id AS item, count(*) AS n_rerun, count(*) >= 60 AS give_up FROM events e JOIN l ON e.user_id = l.user_id WHERE event_type <> 'purchase' AND (last IS NULL OR struct_pack(t := ts, e := event_id) > last) GROUP BY 1")
+def streamed_retries(t):
+    """The retry state of a log that comes as a stream of files, and in part twice: the answer of one pass over the log."""
+    path = scratch(t.spark, "retries")
+    rows = t.events.select(F.col("user_id").alias("item"), F.struct("ts", "event_id").alias("seq"), (F.col("event_type") == "purchase").alias("ok"))
+    rows.union(rows.where("ok")).repartition(4).write.parquet(f"{path}/log")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/log")
+    retries.keep(stream, f"{path}/store", f"{path}/checkpoint", buckets=8).awaitTermination()
+    return retries.queue(Store(t.spark, f"{path}/store"), 60)
