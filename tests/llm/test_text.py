@@ -332,6 +332,22 @@ def test_differencing_against_brute_force(spark):
         assert got[k] == [x for x in lines if x not in gone] and len(gone) == best[-1, -1] and all(x in it for x in gone)
 
 
+def test_main_text_among_teasers_and_marks():
+    def kept(page):
+        return main_text.article_lines(main_text.blocks(page))
+
+    for part in ("aside", "nav", "header", "footer"):
+        assert kept(f"<article>Main</article><{part}><article>teaser</article></{part}>") == ["Main"]
+        assert kept(f"<{part}><article>teaser</article></{part}><article>Main</article>") == ["Main"]
+        assert kept(f"<{part}>left open<article>Main</article>") == ["Main"]
+        assert kept(f"<{part}>left open<article>Main</article><{part}>x</{part}>") == ["Main"]
+    page = '<article><p class="share-price">a</p><h2 id="related-work">b</h2><p id="search">c</p><div class="notice-board">d</div><div class="share-buttons">e</div><div class="Related">f</div><div id="comments">g</div><p class="ad">h</p></article>'
+    assert kept(page) == ["a", "b", "c", "d"]
+    assert kept('<article><p class="share-price">only</p></article>') == ["only"]
+    assert kept("<main><ul><li>Menu</li></ul><article>Main</article>more menu</main>") == ["Main"]
+    assert kept("<main>Main</main><p>other</p>") == ["Main"] and kept("<div>x</div>") is None
+
+
 def test_main_text_of_the_pages(spark, sf):
     """The generator's pages: what stands in the article element, block by block."""
     import html
