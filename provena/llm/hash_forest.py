@@ -6,8 +6,13 @@ sorted array of 35-bit numbers. A query descends each tree to its longest prefix
 by bit, until the prefix's ranges hold CANDIDATES entries in all; the vectors in those ranges are the candidates, whose inner
 products are computed exactly in double precision. Hash strings know directions only. So every vector joins the candidates
 that is long enough to reach the (k + 1)-th best score found at the (k + 1)-th best cosine found: any other one would need a
-direction closer than those, which is what the trees look for. Among vectors of one length none joins. Every query meets every block once, in a stream: a block's task holds
-its vectors and a batch of queries. Blocks are about the same size at every scale, so is the share of a block that is compared.
+direction closer than those, which is what the trees look for. Among vectors of one length none joins.
+
+How many entries that takes depends on the vectors: the more dimensions and the less structure, the less a hash string knows.
+So each block measures it. PROBES of its own vectors are asked; their exact neighbours are known from all products; entries
+grow by half until TARGET of these are among the candidates. A block whose candidates would be most of it is compared whole.
+
+Every query meets every block once, in a stream: a block's task holds its vectors and a batch of queries. Blocks are about the same size at every scale, so is the share of a block that is compared.
 
 Copies of a vector are one entry with its smallest ids, k + 1 of them, which is all that k results can need; no id is lost
 where fewer are kept, as larger ids of equal score rank after them.
@@ -28,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialize, prepare, table
 
 K, TREES, BLOCK_ROWS, CANDIDATES = 20, 48, 8192, 2400
+#: A block's own vectors that are asked to measure its recall, the recall that they have to reach, and the share of a block above which it is compared whole.
+PROBES, TARGET, WHOLE = 64, 0.93, 0.7
 #: Coordinates after a rotation, and symbols of a string.
 SPREAD, SYMBOLS = 64, 5
 
@@ -110,6 +117,29 @@ class Forest:
         return np.flatnonzero(new)
 
 
+    def entries(self, x: np.ndarray, k: int, least: int) -> int:
+        """The entries, from `least` on, at which TARGET of the k nearest of probes of the block are found; 0: compare the whole block."""
+        probes = np.unique(np.linspace(0, self.n - 1, PROBES).astype(np.int64))
+        products = x[probes] @ x.T
+        products[np.arange(len(probes)), probes] = -np.inf
+        k = min(k, self.n - 1)
+        if k < 1:
+            return 0
+        best = np.argpartition(-products, k - 1, axis=1)[:, :k]
+        while True:
+            hits = held = 0
+            for row, true, places in zip(products, best, self.candidates(x[probes], least)):
+                places = places[row[places] > -np.inf]
+                held += len(places)
+                places = np.concatenate([places, self.longer(places, row[places], k)])
+                hits += np.isin(true, places).sum()
+            if held > WHOLE * self.n * len(probes):
+                return 0
+            if hits >= TARGET * k * len(probes):
+                return least
+            least += least // 2
+
+
 def _usable(v: Column) -> Column:
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0)
@@ -118,13 +148,14 @@ def _usable(v: Column) -> Column:
 def _search(rows: DataFrame, k: int, trees: int, least: int) -> DataFrame:
     """rows: block, kind (0 vectors, 1 queries), key, v, ids, ordered within blocks; gives key and its best (score, id) of the block."""
 
-    def answer(x: np.ndarray, ids: list, forest: Forest, keys: list, owners: list, queries: np.ndarray) -> pa.RecordBatch:
+    def answer(x: np.ndarray, ids: list, forest: Forest, entries: int, keys: list, owners: list, queries: np.ndarray) -> pa.RecordBatch:
         found = []
-        for q, own, places in zip(queries, owners, forest.candidates(queries, least)):
+        whole = np.arange(forest.n)
+        for q, own, places in zip(queries, owners, forest.candidates(queries, entries) if entries else [whole] * len(queries)):
             other = lambda at: at if own[0] is None else np.array([p for p in at.tolist() if ids[p] != own], dtype=np.int64)
             places = other(places)
-            scores = np.einsum("ij,j->i", x[places], q)
-            more = other(forest.longer(places, scores, k))
+            scores = np.einsum("ij,j->i", x[places] if len(places) < forest.n else x, q)
+            more = other(forest.longer(places, scores, k)) if entries else places[:0]
             if len(more):
                 places, scores = np.concatenate([places, more]), np.concatenate([scores, np.einsum("ij,j->i", x[more], q)])
             if len(places) > 4 * k:
@@ -135,7 +166,7 @@ def _search(rows: DataFrame, k: int, trees: int, least: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())])))], names=["key", "best"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, ids, x, forest = None, [], [], None, None
+        block, parts, ids, x, forest, entries = None, [], [], None, None, 0
         for batch in batches:
             names, kinds = batch.column("block").to_pylist(), np.asarray(batch.column("kind"))
             edges = [0, *(i for i in range(1, batch.num_rows) if names[i] != names[i - 1] or kinds[i] != kinds[i - 1]), batch.num_rows]
@@ -153,8 +184,9 @@ def _search(rows: DataFrame, k: int, trees: int, least: int) -> DataFrame:
                 if forest is None and parts:
                     x = np.concatenate(parts)
                     forest = Forest(x, trees)
+                    entries = forest.entries(x, k, least)
                 for c in range(0, b - a if forest else 0, 256):
-                    yield answer(x, ids, forest, part.column("key").slice(c, 256).to_pylist(), part.column("ids").slice(c, 256).to_pylist(), v[c : c + 256])
+                    yield answer(x, ids, forest, entries, part.column("key").slice(c, 256).to_pylist(), part.column("ids").slice(c, 256).to_pylist(), v[c : c + 256])
 
     return rows.mapInArrow(run, "key binary, best array<struct<s:double,i:bigint>>")
 

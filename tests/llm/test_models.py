@@ -196,6 +196,22 @@ def test_neighbours_recall(spark):
         assert [x[0] for x in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda x: x[1:])
 
 
+def test_recall_at_other_dimensions(spark):
+    """Structureless directions, in two blocks: the more dimensions, the more a block compares."""
+    for dim in (16, 256):
+        x = np.random.default_rng(dim).standard_normal((9000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        vectors = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        found = hash_forest.nearest(vectors, F.col("id") % 300 == 0, block_rows=4500)
+        got = {(r["query_id"], r["vec_id"]) for r in found.collect()}
+        want = set()
+        for q in range(0, len(x), 300):
+            s = x @ x[q]
+            s[q] = -np.inf
+            want |= {(q, int(k)) for k in np.argsort(-s)[:20]}
+        assert len(got & want) / len(want) >= 0.95
+
+
 def test_forest_recall_in_a_full_block():
     """Production parameters on directions without any structure, the hardest case: candidates hold 0.9 of the nearest 20."""
     x = np.random.default_rng(12).standard_normal((hash_forest.BLOCK_ROWS, 64))
