@@ -1,8 +1,8 @@
 """Benchmark decontamination by one Aho-Corasick automaton over normalised test passages.
 
 A text is lower-cased (A-Z only) and read as words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Every run of `window` consecutive
-words of a benchmark item (all words of a shorter one) is a pattern of one automaton; each document is scanned once.
-Normalising keeps byte lengths, so that a hit word's place in the original is known exactly.
+words of a benchmark item (all words of a shorter one) is a pattern of one automaton over word numbers; each document is scanned
+once. Normalising keeps byte lengths, so that a hit word's place in the original is known exactly.
 
 Defined cases: null or wordless texts have no words and no hits; null or wordless items have no window; repeated document
 rows each give a row; repeated items count once by id; null item ids are left out of the item list but their windows hit.
@@ -10,8 +10,11 @@ rows each give a row; repeated items count once by id; null item ids are left ou
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -21,46 +24,75 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import held, materialize, prepare, table
 
 WINDOW = 13
-#: An automaton's windows come from at most about this many bytes of items; larger benchmarks are scanned for in blocks.
-BLOCK_BYTES = 8 << 20
+#: Nodes of one automaton at most, about 48 bytes each; larger benchmarks are scanned for by several, one after the other.
+BLOCK_NODES = 4 << 20
+#: Symbols that a word's digits have: a node's children are searched one by one.
+BASE = 128
 _NORMAL = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_WORD = re.compile(rb"[^ ]+")
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def windows_of(items, window: int) -> dict[str, list]:
-    """Pattern, with a space at either end -> the ids of its items."""
-    found: dict[str, set] = {}
-    for item_id, text in items:
-        w = words((text or "").encode())
-        for k in range(max(1, len(w) - window + 1)) if w else ():
-            found.setdefault(f" {b' '.join(w[k : k + window]).decode()} ", set()).add(item_id)
-    return {k: sorted(v, key=str) for k, v in found.items()}
+def windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """p (words with a space between), n (words), items (ids as sorted strings) of the distinct windows. benchmark: i, t. An item's windows leave the task as they are made."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
 
-def _automaton(patterns: dict[str, list]):
-    a = ahocorasick.Automaton()
-    for p, ids in patterns.items():
-        a.add_word(p, (p.count(" ") - 1, ids))
-    a.make_automaton()
-    return a
+        def handed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.string()))], names=["p", "n", "i"])
+            found.clear()
+            return out
 
+        for batch in batches:
+            for item, text in zip(batch.column("i").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist()):
+                last: deque = deque(maxlen=window)
+                for m in _WORD.finditer((text or b"").translate(_NORMAL)):
+                    last.append(m[0])
+                    if len(last) == window:
+                        found.append((b" ".join(last), window, item))
+                        if len(found) >= 20_000:
+                            yield handed()
+                if 0 < len(last) < window:
+                    found.append((b" ".join(last), len(last), item))
+        yield handed()
 
-def _scan(text: bytes, automaton) -> tuple[int, list[tuple[int, int]], set]:
-    """Words, hit runs as (first word, words) and items."""
-    w = words(text)
-    runs, items = [], set()
-    if w and automaton is not None:
-        line = f" {b' '.join(w).decode()} "
-        ends = None
-        for end, (n, ids) in automaton.iter(line):
-            if ends is None:
-                ends = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32) == 32)
-            runs.append((int(np.searchsorted(ends, end)) - n, n))
-            items.update(ids)
-    return len(w), runs, items
+    made = benchmark.mapInArrow(run, "p binary, n int, i string")
+    return made.groupBy("p", "n").agg(F.array_sort(F.collect_set("i")).alias("items"))
+
+
+class Matcher:
+    """One automaton over the windows of a block. A word is a number among the block's words, written in `digits` symbols of BASE
+    each, every place with symbols of its own, so that no match begins inside a word; all other words are one symbol that no window has.
+    """
+
+    def __init__(self, patterns: list[tuple]):
+        self.items = [ids for _, _, ids in patterns]
+        self.sizes = [n for _, n, _ in patterns]
+        known = dict.fromkeys(w for p, _, _ in patterns for w in p.split(b" "))
+        self.digits = 1
+        while BASE**self.digits < len(known):
+            self.digits += 1
+        self.codes = {w: "".join(chr(1 + BASE * d + k // BASE**d % BASE) for d in range(self.digits)) for k, w in enumerate(known)}
+        self.other = "\0" * self.digits
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, (p, _, _) in enumerate(patterns):
+            self.automaton.add_word("".join(map(self.codes.__getitem__, p.split(b" "))), k)
+        self.automaton.make_automaton()
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set]:
+        """Words, hit runs as (first word, words) and items."""
+        w = words(text)
+        runs, items = [], set()
+        line = "".join([self.codes.get(x, self.other) for x in w])
+        for end, k in self.automaton.iter(line) if self.items else ():  # an automaton without words can't be asked
+            n = self.sizes[k]
+            runs.append(((end + 1) // self.digits - n, n))
+            items.update(self.items[k])
+        return len(w), runs, items
 
 
 def _original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
@@ -72,57 +104,77 @@ def _original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     return [{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1))]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least: int = 20, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
+def _matched(rows: DataFrame, patterns, only_hits: bool) -> DataFrame:
+    """rows (d, t) with runs and items of one block of windows; only those that have some where only_hits."""
+    token, kind = uuid.uuid4().hex, rows.schema["d"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = None
+        for batch in batches:
+            matcher = matcher or held(token, lambda: Matcher(patterns.value))
+            found = [matcher.scan(text or b"") for text in batch.column("t").cast(pa.binary()).to_pylist()]
+            at = [k for k, x in enumerate(found) if x[1] or not only_hits]
+            runs = pa.array([[{"a": a, "n": n} for a, n in found[k][1]] for k in at], pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())])))
+            items = pa.array([sorted(found[k][2]) for k in at], pa.list_(pa.string()))
+            rest = [] if only_hits else [batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array(at, pa.int64())), *rest, runs, items], names=["d", *["t"] * len(rest), "runs", "items"])
+
+    made = T.StructType.fromDDL(("" if only_hits else "t string, ") + "runs array<struct<a:int,n:int>>, items array<string>")
+    return rows.mapInArrow(run, T.StructType([T.StructField("d", kind), *made.fields]))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """d, n_words, n_hit, items and spans of rows (d, t, runs, items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_hit, spans = [], [], []
+            for text, runs in zip(batch.column("t").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist()):
+                hit = np.zeros(len(words(text or b"")), dtype=bool)
+                for x in runs or ():
+                    hit[x["a"] : x["a"] + x["n"]] = True
+                n_words.append(len(hit))
+                n_hit.append(int(hit.sum()))
+                spans.append(_original_spans(text, hit) if runs else [])
+            columns = [batch.column("d"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "n_words", "n_hit", "items", "spans"])
+
+    made = T.StructType.fromDDL("n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
+    return rows.mapInArrow(run, T.StructType([T.StructField("d", rows.schema["d"].dataType), *made.fields]))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least: int = 20, block_nodes: int = BLOCK_NODES, whole: bool = False) -> DataFrame:
     """Per document row: id (with whole=True a struct `row` of all its columns, whatever their names), n_words, n_hit, items (sorted as strings), spans (original byte offsets), contaminated.
 
-    contaminated: n_hit > 0 and least * n_hit >= n_words. The benchmark's bytes are counted first; each block of at most
-    about block_bytes of it becomes one automaton that is broadcast, and the documents pass the blocks one after the other.
+    contaminated: n_hit > 0 and least * n_hit >= n_words. The windows of the benchmark are made, made distinct and counted by
+    Spark; blocks of them, by hash, become automata of at most about block_nodes nodes, each broadcast by itself. Usually one
+    block has them all and the documents are read once; else rows are numbered and written once, each block's pass writes its
+    hits alone, and these meet by row in the end.
     """
     spark = docs.sparkSession
     prepare(spark)
-    bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    bench = windows(benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")), window)
     carried = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else [id_col])]).alias("d")
-    kind = docs.select(carried).schema["d"].dataType
-    rows = docs.select(carried, F.col(text_col).alias("t"), F.expr("cast(array() as array<struct<a:int,n:int>>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("items"))
-    for k in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        patterns = spark.sparkContext.broadcast(windows_of([tuple(x) for x in part.collect()], window))
-        last, token = k == blocks - 1, uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], patterns=patterns, token=token, last=last) -> Iterator[pa.RecordBatch]:
-            automaton = None
-            for batch in batches:
-                if automaton is None:
-                    automaton = held(token, lambda: _automaton(patterns.value)) if patterns.value else False
-                texts = batch.column("t").cast(pa.binary()).to_pylist()
-                before, known = batch.column("runs").to_pylist(), batch.column("items").to_pylist()
-                out: dict[str, list] = {"n_words": [], "n_hit": [], "spans": [], "runs": [], "items": []}
-                for text, old, had in zip(texts, before, known):
-                    n, found, items = _scan(text or b"", automaton or None)
-                    found += [(x["a"], x["n"]) for x in old]
-                    out["runs"].append([{"a": a, "n": m} for a, m in found])
-                    out["items"].append(sorted({str(x) for x in items if x is not None} | set(had)))
-                    if last:
-                        hit = np.zeros(n, dtype=bool)
-                        for a, m in found:
-                            hit[a : a + m] = True
-                        out["n_words"].append(n)
-                        out["n_hit"].append(int(hit.sum()))
-                        out["spans"].append(_original_spans(text, hit) if found else [])
-                ids, items = batch.column("d"), pa.array(out["items"], pa.list_(pa.string()))
-                if not last:
-                    yield pa.RecordBatch.from_arrays([ids, batch.column("t"), pa.array(out["runs"], pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))), items], names=["d", "t", "runs", "items"])
-                    continue
-                columns = [ids, pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), items, pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays(columns, names=["d", "n_words", "n_hit", "items", "spans"])
-
-        made = T.StructType.fromDDL("n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>" if last else "t string, runs array<struct<a:int,n:int>>, items array<string>")
-        rows = rows.mapInArrow(run, T.StructType([T.StructField("d", kind), *made.fields]))
-        if not last:  # so that the driver and the workers hold one block's patterns at a time
-            rows = materialize(rows, f"block-{k}")
+    rows = docs.select(carried, F.col(f"`{text_col}`").alias("t"))
+    found = materialize(bench, "windows")
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    digits = 1
+    while BASE**digits < min(total, block_nodes):  # no block has more distinct words
+        digits += 1
+    blocks = max(1, -(-total * digits // block_nodes))
+    block = lambda k: spark.sparkContext.broadcast([tuple(x) for x in (found if blocks == 1 else found.where(F.pmod(F.xxhash64("p", "n"), F.lit(blocks)) == k)).select("p", "n", "items").collect()])
+    if blocks == 1:
+        rows = _summed(_matched(rows, block(0), only_hits=False))
+    else:
+        numbered = materialize(rows.select(F.monotonically_increasing_id().alias("r"), "d", "t"), "numbered")
+        hits = []
+        for k in range(blocks):  # the driver and the workers hold one block at a time
+            patterns = block(k)
+            hits.append(materialize(_matched(numbered.select(F.col("r").alias("d"), "t"), patterns, only_hits=True), f"hits-{k}"))
             patterns.destroy()
+        met = reduce(DataFrame.union, hits).groupBy("d").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        joined = numbered.join(met.withColumnRenamed("d", "r"), "r", "left")
+        rows = _summed(joined.select("d", "t", "runs", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
     id_ = F.col("d").alias("row") if whole else F.col(f"d.`{id_col}`").alias(id_col)
     return rows.select(id_, "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 

@@ -1,8 +1,11 @@
 """Decontamination, token files, BPE, chat and main text, against plain versions."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -51,8 +54,8 @@ def test_decontamination(spark):
     texts = [None, "", "...", "alpha", text(40) + items[0][1] + text(10), items[1][1], "x Y z", *[text(60) for _ in range(30)]]
     docs = spark.createDataFrame([(k, t, "i") for k, t in enumerate(texts)] + [(5, texts[5], "i")], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (8 << 20, 60):  # one automaton, and several
-        got = decontaminate.decontaminate(docs, bench, block_bytes=block).collect()
+    for block in (decontaminate.BLOCK_NODES, 60):  # one automaton, and several, that share an item's windows
+        got = decontaminate.decontaminate(docs, bench, block_nodes=block).collect()
         assert len(got) == len(texts) + 1
         for r in got:
             n, hit, found = plain_hits(texts[r["doc_id"]], items)
@@ -67,6 +70,24 @@ def test_decontamination(spark):
     assert all(r["n_hit"] == 0 for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_an_automaton_of_full_size_fits_a_worker():
+    """As many windows as a block takes, of words of two digits: nodes, and memory of the process that holds it."""
+    code = """
+import random
+from provena.llm import decontaminate as d
+rng = random.Random(1)
+w = [str(rng.randrange(16000)).encode() for _ in range(d.BLOCK_NODES // 26 + 12)]
+patterns = [(b" ".join(w[k : k + 13]), 13, ["i"]) for k in range(len(w) - 12)]
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+before = rss()
+m = d.Matcher(patterns)
+print(m.digits, m.automaton.get_stats()["nodes_count"], (rss() - before) >> 20)
+assert m.scan(b"x, " + b"-".join(w[5:25]))[:2] == (21, [(k, 13) for k in range(1, 9)])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ, check=True).stdout.split()
+    assert int(out[0]) == 2 and int(out[1]) <= decontaminate.BLOCK_NODES and int(out[2]) < 400, out
+
+
 @pytest.fixture(scope="module")
 def public():
     return pytest.importorskip("public_tokenizers")
