@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import re
 import uuid
@@ -124,6 +125,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start), buf[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
             start = end
+    release()
 
 
 def binary_parts(buf: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -179,6 +181,18 @@ def unpacked(z: bytes | None) -> bytes:
     return zstandard.decompress(z) if z is not None else b""
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library keeps its own books
+    _trim = lambda _: 0
+
+
+def release() -> None:
+    """Give memory that is free again back to the system: workers live on, and the next operator needs it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 _held: dict = {}
 
 
@@ -188,11 +202,18 @@ def held(key, make):
     Workers serve one operator after another; what another one has left is dropped first.
     """
     if key not in _held:
-        _held.clear()
+        drop_held()
         _held[key] = make()
     return _held[key]
 
 
+def drop_held() -> None:
+    """For operators that keep nothing: what another one has left goes at once."""
+    if _held:
+        _held.clear()
+        release()
+
+
 def hex_digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

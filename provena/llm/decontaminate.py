@@ -104,8 +104,8 @@ def _original_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     return [{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1))]
 
 
-def _matched(rows: DataFrame, patterns, only_hits: bool) -> DataFrame:
-    """rows (d, t) with runs and items of one block of windows; only those that have some where only_hits."""
+def _hits(rows: DataFrame, patterns) -> DataFrame:
+    """d, runs and items of those rows (d, t) in which a block of windows is met."""
     token, kind = uuid.uuid4().hex, rows.schema["d"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,30 +113,38 @@ def _matched(rows: DataFrame, patterns, only_hits: bool) -> DataFrame:
         for batch in batches:
             matcher = matcher or held(token, lambda: Matcher(patterns.value))
             found = [matcher.scan(text or b"") for text in batch.column("t").cast(pa.binary()).to_pylist()]
-            at = [k for k, x in enumerate(found) if x[1] or not only_hits]
+            at = [k for k, x in enumerate(found) if x[1]]
             runs = pa.array([[{"a": a, "n": n} for a, n in found[k][1]] for k in at], pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())])))
             items = pa.array([sorted(found[k][2]) for k in at], pa.list_(pa.string()))
-            rest = [] if only_hits else [batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array(at, pa.int64())), *rest, runs, items], names=["d", *["t"] * len(rest), "runs", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(pa.array(at, pa.int64())), runs, items], names=["d", "runs", "items"])
 
-    made = T.StructType.fromDDL(("" if only_hits else "t string, ") + "runs array<struct<a:int,n:int>>, items array<string>")
+    made = T.StructType.fromDDL("runs array<struct<a:int,n:int>>, items array<string>")
     return rows.mapInArrow(run, T.StructType([T.StructField("d", kind), *made.fields]))
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """d, n_words, n_hit, items and spans of rows (d, t, runs, items)."""
+def _summed(rows: DataFrame, patterns=None) -> DataFrame:
+    """d, n_words, n_hit, items and spans of rows (d, t), which are scanned for the windows, or (d, t, runs, items) that were."""
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = None
         for batch in batches:
-            n_words, n_hit, spans = [], [], []
-            for text, runs in zip(batch.column("t").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist()):
-                hit = np.zeros(len(words(text or b"")), dtype=bool)
-                for x in runs or ():
-                    hit[x["a"] : x["a"] + x["n"]] = True
-                n_words.append(len(hit))
+            n_words, n_hit, items, spans = [], [], [], []
+            texts = batch.column("t").cast(pa.binary()).to_pylist()
+            if patterns is None:
+                found = ((len(words(t or b"")), [(x["a"], x["n"]) for x in runs or ()], ids) for t, runs, ids in zip(texts, batch.column("runs").to_pylist(), batch.column("items").to_pylist()))
+            else:
+                matcher = matcher or held(token, lambda: Matcher(patterns.value))
+                found = (matcher.scan(t or b"") for t in texts)
+            for text, (n, runs, ids) in zip(texts, found):
+                hit = np.zeros(n, dtype=bool)
+                for a, m in runs:
+                    hit[a : a + m] = True
+                n_words.append(n)
                 n_hit.append(int(hit.sum()))
+                items.append(sorted(ids))
                 spans.append(_original_spans(text, hit) if runs else [])
-            columns = [batch.column("d"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            columns = [batch.column("d"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
             yield pa.RecordBatch.from_arrays(columns, names=["d", "n_words", "n_hit", "items", "spans"])
 
     made = T.StructType.fromDDL("n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
@@ -164,13 +172,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     blocks = max(1, -(-total * digits // block_nodes))
     block = lambda k: spark.sparkContext.broadcast([tuple(x) for x in (found if blocks == 1 else found.where(F.pmod(F.xxhash64("p", "n"), F.lit(blocks)) == k)).select("p", "n", "items").collect()])
     if blocks == 1:
-        rows = _summed(_matched(rows, block(0), only_hits=False))
+        rows = _summed(rows, block(0))
     else:
         numbered = materialize(rows.select(F.monotonically_increasing_id().alias("r"), "d", "t"), "numbered")
         hits = []
         for k in range(blocks):  # the driver and the workers hold one block at a time
             patterns = block(k)
-            hits.append(materialize(_matched(numbered.select(F.col("r").alias("d"), "t"), patterns, only_hits=True), f"hits-{k}"))
+            hits.append(materialize(_hits(numbered.select(F.col("r").alias("d"), "t"), patterns), f"hits-{k}"))
             patterns.destroy()
         met = reduce(DataFrame.union, hits).groupBy("d").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         joined = numbered.join(met.withColumnRenamed("d", "r"), "r", "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, prepare, slices, table
+from .common import drop_held, materialize, prepare, slices, table
 from .components import components
 
 #: Differing bits of a link, words of a shingle, and its hash's seed.
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             fp = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed) for t in batch.column("t").cast(pa.binary())], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
@@ -97,6 +98,7 @@ def forest(members: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
 
 def _forests(lists: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             links = [x for m in batch.column("m") for x in forest(np.asarray(m.values, dtype=np.int64).astype(np.uint64, copy=False).view(np.uint64))]
             both = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, SPACE, Steps, packed, prepare, slices, table, unpacked
+from .common import LOWER, SPACE, Steps, drop_held, packed, prepare, release, slices, table, unpacked
 
 #: Symbols of a window and of a gram, by unit. 50 words are in every passage of over 50, even if a word at its edge is glued to its surroundings.
 LENGTH, GRAM = {"bytes": 400, "words": 50}, {"bytes": 64, "words": 8}
@@ -153,6 +153,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, unit: str, across: boo
     w = WIDTH[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         from pyspark import TaskContext
 
         owned = TaskContext.get().partitionId() << 40
@@ -180,6 +181,7 @@ def _contexts(wanted: DataFrame, length: int, unit: str) -> DataFrame:
     w = WIDTH[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             own = batch.column("own")
             fields = {f.name: x for f, x in zip(own.values.type, own.flatten().flatten())}
@@ -277,6 +279,7 @@ def _ordered(contexts: DataFrame, length: int, w: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([rows[k].take(pa.array(row)).combine_chunks() for k in ("c0", "x0")] + [pa.array(x, pa.int16()) for x in (first, last)], names=["cls", "ctx", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         parts: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
@@ -293,6 +296,7 @@ def _ordered(contexts: DataFrame, length: int, w: int) -> DataFrame:
                         n -= whole
         if n:
             yield solve(pa.Table.from_batches(parts))
+        release()
 
     return contexts.repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "cls bigint, ctx bigint, lo smallint, hi smallint")
 
@@ -301,6 +305,7 @@ def _narrowed(contexts: DataFrame, width: int, length: int, w: int) -> DataFrame
     """Each context dealt to slices of `width` values of s; equal parts of a slice's class become one row for each context that they came from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
