@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import counts
+from ..operators import counts, neighbours
 from ..operators.pages import Paged
 from ..operators.state import scratch
 from ..operators.store import Store
@@ -90,3 +90,20 @@ def streamed_retries(t):
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/log")
     retries.keep(stream, f"{path}/store", f"{path}/checkpoint", buckets=8).awaitTermination()
     return retries.queue(Store(t.spark, f"{path}/store"), 60)
+
+
+_BLEND = """e AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings), x AS (SELECT 2 * vec_id AS id, v FROM e UNION ALL
+SELECT 2 * a.vec_id + 1, list_transform(list_zip(a.v, b.v), lambda p: p[1] + 0.6 * p[2]) FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 UNION ALL SELECT -1 - vec_id, v FROM e WHERE vec_id % 7 = 0)"""
+
+
+@query("sim01_all_neighbours", f"""WITH {_BLEND}, f AS (SELECT v, min(id) AS class_id, count(*) AS copies FROM x GROUP BY v),
+n AS (SELECT a.class_id, sum(b.copies) AS near FROM f a JOIN f b ON a.class_id <> b.class_id AND list_cosine_similarity(a.v, b.v) >= 0.85 GROUP BY 1)
+SELECT id, f.class_id, cast(copies - 1 + coalesce(near, 0) AS bigint) AS n_links FROM x JOIN f ON x.v = f.v LEFT JOIN n ON n.class_id = f.class_id""")
+def all_neighbours(t):
+    """Every vector, its blend with the next (which lies about the threshold of 0.85) and some copies: class and number of neighbours."""
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    blend = e.join(after, "vec_id").select((2 * F.col("vec_id") + 1).alias("id"), F.zip_with("v", "w", lambda x, y: x + 0.6 * y).alias("v"))
+    copies = e.where("vec_id % 7 = 0").select((-1 - F.col("vec_id")).alias("id"), "v")
+    x = e.select((2 * F.col("vec_id")).alias("id"), "v").union(blend).union(copies)
+    return neighbours.similar_rows(x, "id", "v", 0.85)[0]
