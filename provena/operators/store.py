@@ -139,7 +139,7 @@ class Store:
         """Rows by bucket in a folder of their own; the buckets that got any."""
         d = f"w-{uuid.uuid4().hex}"
         path = f"{self.path}/data/{name}/{d}"
-        rows.withColumn("bucket", self.bucket(keys, buckets)).repartition("bucket").sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(path)
+        rows.withColumn("bucket", self.bucket(keys, buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(path)
         p, fs = self._fs(path)
         found = (s.getPath().getName() for s in fs.listStatus(p))
         return {n.removeprefix("bucket="): d for n in found if n.startswith("bucket=")}

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import counts, neighbours
+from ..operators import counts, discovery, neighbours
 from ..operators.pages import Paged
 from ..operators.state import scratch
 from ..operators.store import Store
 from ..operators.text_index import TextIndex
 from ..streaming import retries
-from .adapter import EDGE
+from .adapter import EDGE, PART_EDGE
 from .catalog import query
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -107,3 +107,14 @@ def all_neighbours(t):
     copies = e.where("vec_id % 7 = 0").select((-1 - F.col("vec_id")).alias("id"), "v")
     x = e.select((2 * F.col("vec_id")).alias("id"), "v").union(blend).union(copies)
     return neighbours.similar_rows(x, "id", "v", 0.85)[0]
+
+
+@query("crw01_stored_discovery", f"""WITH RECURSIVE {PART_EDGE}, link AS (SELECT DISTINCT src, dst FROM edge), w AS (SELECT DISTINCT src AS id, 0 AS round FROM link WHERE src % 97 = 1 UNION SELECT dst, round + 1 FROM w JOIN link ON src = id WHERE round < 40),
+f AS (SELECT id, min(round) AS round FROM w GROUP BY id)
+SELECT f.id, min(g.id) AS discovered_from, cast(f.round AS int) AS round FROM f LEFT JOIN link ON dst = f.id LEFT JOIN f g ON g.id = src AND g.round = f.round - 1 GROUP BY f.id, f.round""")
+def stored_discovery(t):
+    """What links reach from some seeds, with source and round: two rounds, a stop, and the rest from the store."""
+    store, links = Store(t.spark, scratch(t.spark, "discovery")), t.edges("part_id").select("src", "dst")
+    discovery.start(store, links, links.where("src % 97 = 1").select(F.col("src").alias("id")), 16)
+    discovery.discover(store, rounds=2)
+    return discovery.discover(store)
