@@ -1,10 +1,10 @@
-"""Named queries over stored tables that batches keep up: what is left after the batches is checked against one pass over the tables."""
+"""Named queries over stored tables that batches keep up, checked against one pass over the tables, and over signatures and page trees."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import counts, discovery, neighbours
+from ..operators import counts, discovery, neighbours, page_tree
 from ..operators.pages import Paged
 from ..operators.state import scratch
 from ..operators.store import Store
@@ -118,3 +118,16 @@ def stored_discovery(t):
     discovery.start(store, links, links.where("src % 97 = 1").select(F.col("src").alias("id")), 16)
     discovery.discover(store, rounds=2)
     return discovery.discover(store)
+
+
+@query("htm02_htm05_nested_pages", """SELECT p_partkey AS id, '/part/' || p_partkey AS second_href, p_name || ' ' || p_type AS outer_text, p_name AS inner_text, cast(2 AS bigint) AS n_blocks, p_brand || ' ' || p_name AS first_block, p_name AS matn, p_type AS last_block, '<b>' || p_brand || '</b><p>' || p_size AS box, p_brand || ' ' || p_size AS maker FROM part""")
+def nested_pages(t):
+    """Fields of pages whose blocks nest, and whose paragraphs, items and terms are left open: one page for each part."""
+    p = [F.col(c) for c in ("p_partkey", "p_name", "p_type", "p_brand", "p_type", "p_brand", "p_size")]
+    html = F.format_string('<ul class="breadcrumb"><li><a href="/">all</a><li><a href="/part/%1$s">it</a></ul><div class="a"><div class="b"><b>%2$s</b></div>%3$s</div><p>%4$s <span class="c2 x"><i>%2$s</i></span><p>%5$s<dl><dt>Maker:<dd><b>%6$s</b><p>%7$s<dt>Maker<dd>none</dl>', *p)
+    pages = t.part.select(F.col("p_partkey").alias("id"), html.alias("html")).withColumn("t", page_tree.tree(F.col("html")))
+    tree, first = F.col("t"), lambda *tags, cls=None: F.try_element_at(page_tree.elements(F.col("t"), *tags, cls=cls), F.lit(1))
+    blocks = F.slice(page_tree.text_blocks(tree), 1, 2)
+    return pages.select("id", page_tree.breadcrumbs(tree)[1]["href"].alias("second_href"), page_tree.text(tree, first("div", cls="a")).alias("outer_text"), page_tree.text(tree, first("div", cls="b")).alias("inner_text"),
+        F.size(blocks).cast("long").alias("n_blocks"), blocks[0]["full_text"].alias("first_block"), blocks[0]["matn"].alias("matn"), blocks[1]["full_text"].alias("last_block"),
+        page_tree.inner(F.col("html"), first("dd")).alias("box"), page_tree.labelled_fields(tree)["Maker"].alias("maker"))
