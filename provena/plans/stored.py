@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import counts, discovery, neighbours, page_tree
+from ..operators import counts, discovery, neighbourhoods, neighbours, page_tree
 from ..operators.pages import Paged
 from ..operators.state import scratch
 from ..operators.store import Store
@@ -131,3 +131,11 @@ def nested_pages(t):
     return pages.select("id", page_tree.breadcrumbs(tree)[1]["href"].alias("second_href"), page_tree.text(tree, first("div", cls="a")).alias("outer_text"), page_tree.text(tree, first("div", cls="b")).alias("inner_text"),
         F.size(blocks).cast("long").alias("n_blocks"), blocks[0]["full_text"].alias("first_block"), blocks[0]["matn"].alias("matn"), blocks[1]["full_text"].alias("last_block"),
         page_tree.inner(F.col("html"), first("dd")).alias("box"), page_tree.labelled_fields(tree)["Maker"].alias("maker"))
+
+
+@query("grf12_sizes_of_all", f"""WITH {PART_EDGE}, u AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge UNION SELECT src, src FROM edge UNION SELECT dst, dst FROM edge),
+two AS (SELECT DISTINCT x.a, y.b FROM u x JOIN u y ON x.b = y.a)
+SELECT a AS node, cast(1 AS int) AS hop, count(*) - 1 AS size, count(*) <= 4096 AS exact FROM u GROUP BY a UNION ALL SELECT a, 2, count(*) - 1, count(*) <= 4096 FROM two GROUP BY a""")
+def sizes_of_all(t):
+    """How many other nodes lie within one and two undirected steps of every node; exact for up to 4,095."""
+    return neighbourhoods.sizes(t.edges("part_id"), 2, 4096)
