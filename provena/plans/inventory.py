@@ -6,13 +6,11 @@ SQL. Readers are asked over files that the query itself has written to the share
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chains, graph, html, quality, resolve
-from ..operators.state import read_state, shared_folder, write_state
+from ..operators.state import read_state, scratch, write_state
 from ..sources import readers, sinks
 from ..streaming import status
 from .adapter import MEMBER, SPLIT
@@ -46,7 +44,7 @@ def _collapse(x: str) -> str:
 
 
 def _path(t, what: str) -> str:
-    return f"{shared_folder(t.spark)}/{what}-{uuid.uuid4().hex}"
+    return scratch(t.spark, what)
 
 
 # text functions
@@ -409,18 +407,19 @@ def src09(t):
 
 @query("src10_csv_shape", "SELECT row_number() OVER (ORDER BY s_suppkey) AS id, s_name AS full_text, s_nationkey AS place FROM supplier")
 def src10(t):
-    """A file without ids in the order of its lines: renamed, with a sequential id."""
+    """Files without ids, by their names and in the order of their rows: renamed, with a sequential id."""
     path = _path(t, "shape")
-    one = t.supplier.orderBy("s_suppkey").select(F.col("s_name").alias("text"), F.col("s_nationkey").alias("place")).coalesce(1)  # one file, written in a stream
-    df = readers.csv_shape(t.spark, _csv(one, path), {"text": "full_text"})
+    parts = t.supplier.repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey").select(F.col("s_name").alias("text"), F.col("s_nationkey").alias("place"))
+    df = readers.csv_shape(t.spark, _csv(parts, path), {"text": "full_text"})
     return df.select("id", "full_text", F.col("place").cast("int").alias("place"))
 
 
 @query("src11_positional_lines", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS ordinal, s_name AS line FROM supplier")
 def src11(t):
+    """Lines of several files, each with a header, with blank lines between them."""
     path = _path(t, "raw")
-    s = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("value")).union(t.supplier.select("s_suppkey", F.lit("  "))).union(t.region.where("r_regionkey = 0").select(F.lit(-1).cast("long"), F.lit("header")))
-    s.orderBy("k", "value").select("value").coalesce(1).write.text(path)
+    lines = t.supplier.select("s_suppkey", F.explode(F.array("s_name", F.lit(None))).alias("header"))
+    lines.repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey").select("header").write.option("header", True).option("nullValue", "").csv(path)
     return readers.raw_lines(t.spark, path)
 
 

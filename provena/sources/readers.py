@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import strip_leading, trim_ws
+from ..operators.state import materialize
 
 #: File names that name no source.
 GENERIC_NAMES = ["results", "result", "narrator_chains", "narrator_graph", "data"]
@@ -74,35 +75,41 @@ def csv_text(spark: SparkSession, path: str, column: str | None = None) -> DataF
 
 def csv_sniffed(spark: SparkSession, path: str, names: tuple[str, ...] = ("hadith_text", "text", "hadith"), index: tuple[str, ...] = ("hadith_index", "index", "id")) -> DataFrame:
     """doc_index, text: the text from the first known column that is not empty, else from any; the index where it is digits, else the row's number."""
-    df = number_rows(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
-    cols = [c for c in df.columns if c != "row_no"]
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    cols = df.columns
+    df = number_rows(df, name="row_no_")
     lower = {c.lower(): c for c in cols}
     texts = [lower[n] for n in names if n in lower] + cols
     text = F.coalesce(*[F.nullif(trim_ws(F.col(f"`{c}`")), F.lit("")) for c in texts])
     idx = next((lower[n] for n in index if n in lower), None)
     number = F.when(F.col(f"`{idx}`").rlike(r"^\d+$"), F.col(f"`{idx}`").try_cast("long")) if idx else F.lit(None).cast("long")
-    return df.select(F.coalesce(number, F.col("row_no")).alias("doc_index"), text.alias("text")).where("text IS NOT NULL")
+    return df.select(F.coalesce(number, F.col("row_no_")).alias("doc_index"), text.alias("text")).where("text IS NOT NULL")
+
 
+def number_rows(df: DataFrame, start: int = 1, name: str = "row_no", header: bool = False) -> DataFrame:
+    """name numbers the rows of a DataFrame that reads files: files by their names, then rows as they stand; with header the first row of each file goes.
 
-def number_rows(df: DataFrame, start: int = 1) -> DataFrame:
-    """row_no in the order of one file: a first pass counts the rows of each partition, the second adds what stands before; rows never move."""
-    held = df.withColumn("m_", F.monotonically_increasing_id())
-    part, at = F.shiftright("m_", 33), F.col("m_").bitwiseAND(F.lit((1 << 33) - 1))
-    before, offsets = 0, []
-    for r in sorted(held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["p"]):  # a row for each partition
-        offsets += [F.lit(r["p"]), F.lit(before)]
-        before += r["n"]
-    skipped = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
-    return held.withColumn("row_no", (at + skipped + start).cast("long")).drop("m_")
+    A first pass counts the rows of each stretch that a task reads, the second adds what stands before: rows never move. The
+    counts are a written table, so that Spark broadcasts them where their size is small and joins them otherwise.
+    """
+    held = df.withColumns({"file_": F.col("_metadata.file_path"), "at_": F.col("_metadata.file_block_start"), "m_": F.monotonically_increasing_id()})
+    counted = held.groupBy("file_", "at_").agg(F.min("m_").alias("first_"), F.count("*").alias("n_"))
+    if header:
+        top = (F.row_number().over(Window.partitionBy("file_").orderBy("at_")) == 1).cast("int")
+        counted = counted.withColumn("top_", top).select("file_", "at_", (F.col("first_") + F.col("top_")).alias("first_"), (F.col("n_") - F.col("top_")).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("file_", "at_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each stretch of some 128 MB
+    stretches = materialize(counted.select("file_", "at_", "first_", before.alias("before_")), "stretches")
+    met = held.join(stretches, ["file_", "at_"], "left")  # every row has its stretch; as a left join it is never the rows that are broadcast
+    return met.where(F.coalesce(F.expr("m_ >= first_"), F.lit(True))).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("m_") - F.col("first_") + F.col("before_") + start).cast("long").alias(name))
 
 
 def csv_shape(spark: SparkSession, path: str, names: dict[str, str], id_col: str = "id", header: bool = True) -> DataFrame:
-    """A CSV in the shape that a pipeline wants: columns renamed by `names` (by their place, as _c0, _c1 ..., without a header), a sequential id from 1 where id_col is none of them."""
+    """A CSV in the shape that a pipeline wants: columns renamed by `names` (by their place, as _c0, _c1 ..., without a header), a sequential id from 1 where id_col is none of them. Rows of several files count on in the order of the files' names."""
     df = spark.read.option("header", header).option("multiLine", True).option("escape", '"').csv(path)
     df = df.withColumnsRenamed(names)
     if id_col in df.columns:
         return df
-    return number_rows(df).withColumnRenamed("row_no", id_col).select(id_col, *df.columns)
+    return number_rows(df, name=id_col).select(id_col, *[F.col(f"`{c}`") for c in df.columns])
 
 
 def label_tables(spark: SparkSession, path: str, label: str, schema: str | None = None) -> DataFrame:
@@ -112,10 +119,9 @@ def label_tables(spark: SparkSession, path: str, label: str, schema: str | None
 
 
 def raw_lines(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """Non-blank lines of one file with their ordinal from 0, without the header."""
-    lines = number_rows(spark.read.text(path).where(trim_ws("value") != ""), 0)
-    out = lines.where("row_no > 0").withColumn("row_no", F.col("row_no") - 1) if header else lines
-    return out.select(F.col("row_no").alias("ordinal"), F.col("value").alias("line"))
+    """Non-blank lines with their ordinal from 0, without the header: the first such line of each file. Several files count on in the order of their names."""
+    lines = spark.read.text(path).where(trim_ws("value") != "")
+    return number_rows(lines, 0, "ordinal", header).select("ordinal", F.col("value").alias("line"))
 
 
 def id_lines(spark: SparkSession, path: str) -> DataFrame:

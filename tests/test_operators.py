@@ -202,13 +202,35 @@ def test_numbered_rows(spark, tmp_path):
         assert sorted(tuple(r) for r in lines.collect()) == [(k, f"line {k}") for k in range(5000)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert readers.number_rows(spark.createDataFrame([], "a int")).collect() == []
+    (tmp_path / "none.txt").write_text("")
+    assert readers.raw_lines(spark, f"{tmp_path}/none.txt").collect() == []
     (tmp_path / "c.csv").write_text("a,b\nx,1\ny,2\n")
     got = readers.csv_shape(spark, f"{tmp_path}/c.csv", {"a": "text"})
     assert got.columns == ["id", "text", "b"] and [tuple(r) for r in got.collect()] == [(1, "x", "1"), (2, "y", "2")]
     assert readers.csv_shape(spark, f"{tmp_path}/c.csv", {"_c0": "text", "_c1": "id"}, header=False).columns == ["text", "id"]
 
 
+def test_numbered_rows_of_several_files(spark, tmp_path):
+    """Files count on by name, whatever their sizes; each has its header, and one has nothing else."""
+    (tmp_path / "t").mkdir()
+    want = []
+    for name, n in (("a", 3), ("b", 4000), ("c", 0), ("d", 900)):
+        lines = [f"{name} {k}" for k in range(n)]
+        want += lines
+        (tmp_path / "t" / f"{name}.txt").write_text("\n \nhead\n" + "".join(f"{x}\n\n" for x in lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert sorted(tuple(r) for r in readers.raw_lines(spark, f"{tmp_path}/t").collect()) == list(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "c").mkdir()
+    for name, rows in (("1", "x,1\n"), ("2", "y,2\nz,3\n" * 50), ("3", "w,4\n")):
+        (tmp_path / "c" / f"{name}.csv").write_text("a b,row_no\n" + rows)
+    got = readers.csv_shape(spark, f"{tmp_path}/c", {}).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(k + 1, *r) for k, r in enumerate([("x", "1"), *[("y", "2"), ("z", "3")] * 50, ("w", "4")])]
+
+
 def test_expected_numbers(spark):
     seen = spark.createDataFrame([(1,), (4,)], "k long")
     assert [r["k"] for r in quality.missing_in_range(seen, "k", 1).orderBy("k").collect()] == [2, 3]
