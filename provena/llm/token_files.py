@@ -34,6 +34,8 @@ SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (1
 ESCAPE = 32767
 #: Words of a block, and records of a file.
 BLOCK, FILE_RECORDS = 1024, 16
+#: Code points of a text that divide the rows of one id among tasks; their order is the text's.
+HEAD = 64
 MAGIC, NO_ID = b"S8B1", -(1 << 63)
 MEMO = 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -179,7 +181,11 @@ def encoder(path: str) -> Encoder:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
-    """Write all documents in ascending order of id; each record holds the documents of about SLICE_BYTES of text."""
+    """Write all documents in ascending order of id; each record holds the documents of about SLICE_BYTES of text.
+
+    Rows of one id, or of none, are divided by how their texts begin, so that only rows that share both are one task's; it sorts
+    them with spills and streams them.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +197,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id",
             full[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(ends))] = ids
             yield pa.RecordBatch.from_arrays([pa.array([record(np.asarray(rows.column("d")), np.diff(ends) + 1, full)], pa.binary())], names=["b"])
 
-    ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
+    ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).alias("t")).repartitionByRange("d", F.substring("t", 1, HEAD)).sortWithinPartitions("d", "t")
     ordered.mapInArrow(run, "b binary").select(F.col("b").cast("string")).write.option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 

@@ -184,6 +184,21 @@ def test_token_files(public, spark, sf):
     folder = scratch(spark, "test-tokens")
     token_files.write(twice, folder, path)
     assert sorted((r["doc_id"] or -1, r["start"], r["n_tokens"]) for r in token_files.index(spark, folder).collect()) == [(-1, 0, 2), (4, 2, 1), (4, 3, 2), (4, 5, 2)]
+    # one id may hold nearly all rows: their files still follow the texts' order
+    hot = [(None if k % 9 else k, f"{(k * 37) % 400:03d} " + "word " * (k % 5)) for k in range(400)]
+    folder = scratch(spark, "test-tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write(spark.createDataFrame(hot, "doc_id long, text string").repartition(3), folder, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert token_files._files(spark, folder).where("length(content) > 2000").count() > 1
+    start, want = 0, []
+    for i, t in sorted(hot, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        n = len(lib.encode(t, add_special_tokens=False).ids) + 1
+        want.append((start, i, n))
+        start += n
+    assert sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.index(spark, folder).collect()) == want
     folder = scratch(spark, "test-tokens")
     token_files.write(twice.limit(0), folder, path)
     assert token_files.index(spark, folder).collect() == []
