@@ -53,12 +53,16 @@ class TextIndex:
         if batch in base["applied"]:
             return base
         segment, lens, tfs = base["version"] + 1, self._numbers("len"), self._numbers("tf")
-        split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(f"t_{k}") for k, f in enumerate(self.fields)])
-        sizes = materialize(split.select("id", F.lit(segment).alias("segment"), *[F.size(f"t_{k}").cast("long").alias(n) for k, n in enumerate(lens)]), "index-docs")
+        named = docs.where(F.col(id_col).isNotNull())
+        split = named.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(f"t_{k}") for k, f in enumerate(self.fields)])
         in_field = lambda k: F.transform(f"t_{k}", lambda t: F.struct(t.alias("term"), F.lit(k).alias("field")))
         found = split.select("id", F.explode(F.concat(*[in_field(k) for k in range(len(self.fields))])).alias("x")).groupBy("id", F.col("x.term").alias("term"))
         forward = found.agg(*[F.count_if(F.col("x.field") == k).alias(n) for k, n in enumerate(tfs)])
         forward = materialize(forward.select("id", F.lit(segment).alias("segment"), "term", *tfs), "index-forward")
+        # lengths are sums of counts, so that texts are read and split once; the second scan is of ids alone, for those without a token
+        summed = forward.groupBy("id").agg(*[F.sum(t).alias(n) for t, n in zip(tfs, lens, strict=True)])
+        sizes = named.select(F.col(id_col).alias("id")).join(summed, "id", "left").select("id", F.lit(segment).alias("segment"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in lens])
+        sizes = materialize(sizes, "index-docs")
 
         touched = self.store.touched(sizes, ["id"], self.buckets)
         kept, gone, less = sizes, None, None
