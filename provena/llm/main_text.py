@@ -1,21 +1,24 @@
 r"""HTML main text by nearest-URL page differencing.
 
 Every page is read into blocks (the lines of its text), each with the page's own marks: inside an article, or inside a part
-that is no main text by its element, role or class. Pages of a host are paired with the neighbour in path order that shares
-the longer start of the path; their lines are aligned by a longest common subsequence, and shared lines are deleted. As two
-articles of a host may share a paragraph ("The.", a quotation, a reprint), the deletion doesn't reach inside an article
-element: a page that marks its article keeps that whole, all other pages lose every line they share with the neighbour. Pages
-that mark their article are neighbours of others, but look for none themselves. An article element goes before main; an article
-inside a menu, header, footer or aside that has an end tag of its own is a teaser there; inside an article only whole class
-names mark a part as no text, and ids of headings, paragraphs and the like never do.
-
-Neighbours come from a range-partitioned order of small rows (host, path, line hashes), numbered across partitions, so that a
-host with very many pages is spread over tasks like any other.
-
-Defined cases: null pages are empty; null URLs have no host and no neighbour; a page alone on its host keeps what its marks
-leave; unclosed elements end with their parent, an unclosed script, style or comment with the page, a part left open before
-an article (no end tag of its own further on) with the article's start; repeated rows each give a row (a copy of the same page and URL is not its neighbour's template:
-rows with equal HTML aren't differenced).
+that is no main text by its element, role or class. Every page is paired with the page of its host that shares the longest start
+of the path and has other lines (copies of a page are one place in the order); their lines are aligned by a longest common
+subsequence, and shared lines are deleted. What the alignment shares inside an article element (or main) may be a paragraph of
+two articles ("The.", a quotation, a reprint): there only template goes, which is what most of the host's articles share with
+their nearest page. An article of which half or more is shared is a reprint and doesn't count in that, and copies of an article
+count once. What is left then passes the page's marks: the lines of article elements, or else of main, or else all, without parts
+that are no main text. So a promoted article that stands on every page goes as a whole, and a page of nothing else is read from
+its other parts.
+
+An article element goes before main; an article inside a menu, header, footer or aside that has an end tag of its own is a teaser
+there; inside an article only whole class names mark a part as no text, and ids of headings, paragraphs and the like never do.
+
+Neighbours come from a range-partitioned order of small rows (host, path, line hashes), whose runs of equal pages are numbered
+across partitions, so that a host with very many pages is spread over tasks like any other.
+
+Defined cases: null pages are empty; null URLs have no host and no neighbour; a page alone on its host, or there only with copies
+of itself, keeps what its marks leave; unclosed elements end with their parent, an unclosed script, style or comment with the page,
+a part left open before an article (no end tag of its own further on) with the article's start; repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, packed, prepare, table, unpacked
+from .common import Steps, packed, prepare, table, unpacked
 
 #: Elements by what they do to lines, and words of class, id and role that mark what is no main text.
 RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "svg", "xmp", "noembed", "noframes"}
@@ -54,6 +57,8 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)")
 #: Lists of up to so many shared lines are aligned with all bit rows in memory; it changes no result.
 ALIGN = 4096
+#: A shared line inside articles is the host's template if so many articles share it at least, and more than half of them.
+TEMPLATE_ARTICLES = 3
 
 
 def _marked(name: str, attributes: str, in_article: bool) -> bool:
@@ -189,9 +194,13 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
 
 def common_subsequence(a: list[int], b: list[int]) -> list[bool]:
     """For each of a whether a longest common subsequence with b has it. Bit rows, of which every step-th is kept; the others are made again."""
-    shared, kept = set(a) & set(b), [False] * len(a)
-    own = [i for i, x in enumerate(a) if x in shared]
-    other = [x for x in b if x in shared]
+    kept, short = [False] * len(a), min(len(a), len(b))
+    head = next((i for i in range(short) if a[i] != b[i]), short)  # equal ends are always part of one
+    tail = next((i for i in range(short - head) if a[-1 - i] != b[-1 - i]), short - head)
+    kept[:head], kept[len(a) - tail :] = [True] * head, [True] * tail
+    shared = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    own = [i for i in range(head, len(a) - tail) if a[i] in shared]
+    other = [x for x in b[head : len(b) - tail] if x in shared]
     at: dict[int, list[int]] = {}
     for j, x in enumerate(other):
         at.setdefault(x, []).append(j)
@@ -236,9 +245,17 @@ def _hashes(lines) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x[0].encode()) >> 1 for x in lines]
 
 
+def _digest(hashes: list[int]) -> int:
+    return xxhash.xxh3_64_intdigest(b"".join(x.to_bytes(8, "little") for x in hashes)) >> 1
+
+
+def _level(lines: list[tuple[str, int, bool]]) -> int:
+    return max((article for _, article, outside in lines if not outside), default=0)
+
+
 def article_lines(lines: list[tuple[str, int, bool]]) -> list[str] | None:
     """The lines in article elements, or else in main; None where a page marks neither."""
-    level = max((article for _, article, outside in lines if not outside), default=0)
+    level = _level(lines)
     return [t for t, article, outside in lines if article == level and not outside] if level else None
 
 
@@ -247,37 +264,68 @@ def _address(url: str | None) -> tuple[str, str]:
     return (m[1].lower(), m[2] or "/") if m else ("", url or "")
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """uid, and line hashes of the nearest page by path on its host (none if it is alone), of the pages that mark no article. pages: uid, url, html."""
+def neighbours(pages: DataFrame, steps: Steps) -> DataFrame:
+    """Pages with line hashes (lines), the lengths of those in their article (inside; 0 for others) and a hash of the article, beside the
+    line hashes of the nearest page by path on the host that has other lines (near, null if there is none). pages: uid, url, html."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             where = [_address(u) for u in batch.column("url").to_pylist()]
-            found = [blocks(h or "") for h in batch.column("html").to_pylist()]
-            columns = [pa.array([w[0] for w in where], pa.string()), pa.array([w[1] for w in where], pa.string()), pa.array([_hashes(x) for x in found], pa.list_(pa.int64())), pa.array([article_lines(x) is not None for x in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), *columns], names=["uid", "host", "path", "lines", "marked"])
+            hashes, inside, page, article = [], [], [], []
+            for h in batch.column("html").to_pylist():
+                found = blocks(h or "")
+                level, own = _level(found), _hashes(found)
+                hashes.append(own)
+                inside.append([len(t) if level and at == level and not outside else 0 for t, at, outside in found])
+                page.append(_digest(own))
+                article.append(_digest([x for x, n in zip(own, inside[-1]) if n]) if level else None)
+            columns = [pa.array([w[0] for w in where], pa.string()), pa.array([w[1] for w in where], pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(inside, pa.list_(pa.int32())), pa.array(page, pa.int64()), pa.array(article, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), *columns], names=["uid", "host", "path", "lines", "inside", "page", "article"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of equal pages of this partition, their first and last rows. A batch waits for the next one's first row."""
         from pyspark import TaskContext
 
-        part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(range(k, k + n), pa.int64())], names=[*batch.schema.names, "part", "k"])
-            k += n
-
-    schema = "uid binary, host string, path string, lines array<bigint>, marked boolean"
-    rows = materialize(pages.mapInArrow(lines, schema).where("host <> '' AND size(lines) > 0").dropDuplicates(["uid"]), "page-lines")
-    ordered = rows.repartitionByRange("host", "path", "uid").sortWithinPartitions("host", "path", "uid")
-    ordered = materialize(ordered.mapInArrow(numbered, f"{schema}, part int, k bigint"), "page-order")
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    row = ordered.join(before, "part").select("uid", "host", "path", "lines", "marked", (F.col("k") + F.col("b")).alias("g"))
+        part, run, before, waiting = TaskContext.get().partitionId(), -1, None, None
 
-    def beside(step: int, prefix: str) -> DataFrame:
-        return row.select((F.col("g") + step).alias("g"), *[F.col(c).alias(f"{prefix}_{c}") for c in ("host", "path", "lines")])
+        def done(ends: bool) -> pa.RecordBatch:
+            batch, runs, first = waiting
+            last = [*first[1:], ends]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(runs), pa.int32()), pa.array(runs, pa.int64()), pa.array(first, pa.bool_()), pa.array(last, pa.bool_())], names=[*batch.schema.names, "part", "run", "first", "last"])
 
-    both = row.where(~F.col("marked")).join(beside(1, "a"), "g", "left").join(beside(-1, "b"), "g", "left")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs, first = [], []
+            for key in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist()):
+                first.append(key != before)
+                run += key != before
+                runs.append(run)
+                before = key
+            if waiting:
+                yield done(first[0])
+            waiting = batch, runs, first
+        if waiting:
+            yield done(True)
+
+    schema = "uid binary, host string, path string, lines array<bigint>, inside array<int>, page bigint, article bigint"
+    rows = steps.write(pages.mapInArrow(lines, schema).where("host <> '' AND size(lines) > 0").dropDuplicates(["uid"]), "page-lines")
+    ordered = rows.repartitionByRange("host", "path", "uid").sortWithinPartitions("host", "path", "uid")
+    ordered = steps.write(ordered.mapInArrow(numbered, f"{schema}, part int, run bigint, first boolean, last boolean"), "page-order")
+    # a run may go on in the next partitions: their first runs are no new ones
+    key, by = F.struct("host", "page"), Window.orderBy("part")
+    parts = ordered.where("first").groupBy("part").agg((F.max("run") + 1).alias("runs"), F.min_by(key, "run").alias("head"), F.max_by(key, "run").alias("tail"))
+    parts = parts.select("part", "runs", F.col("head").eqNullSafe(F.lag("tail").over(by)).alias("goes_on"), F.col("tail").eqNullSafe(F.lead("head").over(by)).alias("stays"))
+    new = F.col("runs") - F.col("goes_on").cast("int")
+    parts = parts.withColumn("b", F.coalesce(F.sum(new).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("goes_on").cast("int"))
+    first = F.col("first") & ~(F.col("goes_on") & (F.col("run") == 0))
+    last = F.col("last") & ~(F.col("stays") & (F.col("run") == F.col("runs") - 1))
+    row = ordered.join(parts, "part").select("uid", "host", "path", "lines", "inside", "article", (F.col("run") + F.col("b")).alias("g"), first.alias("first"), last.alias("last"))
+
+    def beside(end: str, step: int, prefix: str) -> DataFrame:
+        return row.where(end).select((F.col("g") + step).alias("g"), *[F.col(c).alias(f"{prefix}_{c}") for c in ("host", "path", "lines")])
+
+    both = row.join(beside("last", 1, "a"), "g", "left").join(beside("first", -1, "b"), "g", "left")
 
     def start(other: str):  # length of the common start of two paths, -1 on another host
         k = F.least(F.length("path"), F.length(other))
@@ -285,7 +333,34 @@ def neighbours(pages: DataFrame) -> DataFrame:
         return F.when(F.col(other.replace("path", "host")) == F.col("host"), same["n"]).otherwise(-1)
 
     a, b = start("a_path"), start("b_path")
-    return both.select("uid", F.when((a >= b) & (a >= 0), F.col("a_lines")).when(b >= 0, F.col("b_lines")).alias("near"))
+    return both.select("uid", "host", "lines", "inside", "article", F.when((a >= b) & (a >= 0), F.col("a_lines")).when(b >= 0, F.col("b_lines")).alias("near"))
+
+
+def differences(pages: DataFrame) -> DataFrame:
+    """uid, the places of the lines that a page shares with its nearest one (gone), and the hashes of those in its article that are the
+    host's template (template, null if none), of the pages that have a neighbour. pages: uid, url, html."""
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone, shared, votes = [], [], []
+            for own, inside, article, near in zip(*(batch.column(c).to_pylist() for c in ("lines", "inside", "article", "near"))):
+                at = [i for i, both in enumerate(common_subsequence(own, near)) if both]
+                gone.append(at)
+                shared.append(sorted({own[i] for i in at if inside[i]}))
+                votes.append(article if 2 * sum(inside[i] for i in at) < sum(inside) else None)  # else a reprint
+            columns = [pa.array(gone, pa.list_(pa.int32())), pa.array(shared, pa.list_(pa.int64())), pa.array(votes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("host"), *columns], names=["uid", "host", "gone", "shared", "article"])
+
+    steps = Steps(pages.sparkSession)
+    near = neighbours(pages, steps).where("near IS NOT NULL")
+    done = steps.write(near.mapInArrow(aligned, "uid binary, host string, gone array<int>, shared array<bigint>, article bigint"), "page-shared")
+    steps.drop("page-lines", "page-order")
+    votes = done.where("article IS NOT NULL")
+    articles = votes.groupBy("host").agg(F.countDistinct("article").alias("n"))
+    lines = votes.select("host", "article", F.explode("shared").alias("line")).groupBy("host", "line").agg(F.countDistinct("article").alias("k"))
+    template = lines.where(F.col("k") >= TEMPLATE_ARTICLES).join(articles, "host").where("2 * k > n").select("host", "line")
+    own = done.select("uid", "host", F.explode("shared").alias("line")).join(template, ["host", "line"]).groupBy("uid").agg(F.collect_list("line").alias("template"))
+    return done.select("uid", "gone").join(own, "uid", "left")
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -294,19 +369,21 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     kind = pages.schema[id_col].dataType.simpleString()
     own = pages.select(F.col(id_col).alias("d"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     own = own.withColumn("uid", F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("html"), F.lit(""))))))
-    near = neighbours(own.select("uid", "url", "html")).withColumnRenamed("uid", "n_uid")
-    joined = packed(own, "html").join(near, F.col("uid") == F.col("n_uid"), "left").select("d", "url", "z", "near")
+    found = differences(own.select("uid", "url", "html")).withColumnRenamed("uid", "n_uid")
+    joined = packed(own, "html").join(found, F.col("uid") == F.col("n_uid"), "left").select("d", "url", "z", "gone", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, other in zip(batch.column("z").to_pylist(), batch.column("near").to_pylist()):
-                lines = blocks(unpacked(page).decode())
-                kept = article_lines(lines)
+            for page, gone, template in zip(*(batch.column(c).to_pylist() for c in ("z", "gone", "template"))):
+                lines, gone = blocks(unpacked(page).decode()), set(gone or ())
+                if template:
+                    hashes, template = _hashes(lines), set(template)
+                    kept = article_lines([x for i, x in enumerate(lines) if i not in gone or hashes[i] not in template])
+                else:
+                    kept = article_lines(lines)
                 if kept is None:
-                    hashes = _hashes(lines)
-                    gone = common_subsequence(hashes, other) if other and other != hashes else [False] * len(lines)
-                    kept = [t for (t, _, outside), g in zip(lines, gone) if not outside and not g]
+                    kept = [t for i, (t, _, outside) in enumerate(lines) if not outside and i not in gone]
                 texts.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("url"), pa.array(texts, pa.string())], names=["d", "url", "text"])
 

@@ -318,6 +318,15 @@ def test_common_subsequence_rows_made_again(monkeypatch):
             assert main_text.common_subsequence(a, b) == whole
 
 
+def test_common_subsequence_of_near_copies():
+    """Two long articles that differ in one line take no time."""
+    began, n = time.time(), 400_000
+    a = list(range(n))
+    b = [*a[: n // 2], -1, *a[n // 2 + 1 :]]
+    assert main_text.common_subsequence(a, b) == [i != n // 2 for i in range(n)] and time.time() - began < 30
+    assert main_text.common_subsequence([1, 1], [1]) == [True, False] and main_text.common_subsequence([1], []) == [False]
+
+
 def test_page_differencing(spark):
     plain = lambda own, menu="Home": f"<div>{menu}</div><p>{own}</p><div>Imprint</div>"
     rows = [(1, "http://h/x/1", plain("one")), (2, "http://h/x/2", plain("two")), (3, "http://h/y/1", plain("three", "Other")), (4, "http://k/1", plain("alone")), (5, None, plain("none")), (6, "http://h/x/2", None), (7, "http://k/2", PAGE), (1, "http://h/x/1", plain("one"))]
@@ -368,6 +377,46 @@ def test_differencing_against_brute_force(spark):
         assert got[k] == [x for x in lines if x not in gone] and len(gone) == best[-1, -1] and all(x in it for x in gone)
 
 
+def test_differencing_inside_articles(spark):
+    """Every page is differenced: what most articles of a host share goes, also a whole promoted article; what few share and reprints stay."""
+    def page(k, body, promoted="<article><p>Read our shop</p></article>"):
+        return f"<nav>Menu {k}</nav><article><h1>Title {k}</h1><p>{body}</p><p>We are hiring</p></article>{promoted}"
+
+    long = "A reprinted text of many words that stands in several articles of the host"
+    rows = [(k, f"http://h/n/{k}", page(k, f"own text {k} of the article")) for k in range(10, 16)]
+    rows += [(20, "http://h/q/1", page(20, "The.</p><p>own words 20 of it")), (21, "http://h/q/2", page(21, "The.</p><p>own words 21 of it"))]
+    rows += [(30 + k, f"http://h/r/{k}", f"<nav>{k}</nav><article><p>{long}</p><p>{k}</p></article>") for k in range(20)]  # one article, other menus
+    rows += [(60 + k, f"http://two/{k}", page(k, f"own text {k}")) for k in range(2)]  # too few articles to say
+    rows += [(70 + k, f"http://only/{k}", f"<article><p>Read our shop now or never</p></article><div>Menu</div><div>text {k}</div>") for k in range(4)]  # half of an article and more: no votes
+    got = {r["page_id"]: r["text"].split("\n") for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(10, 16)] == [[f"Title {k}", f"own text {k} of the article"] for k in range(10, 16)]
+    assert [got[k] for k in (20, 21)] == [[f"Title {k}", "The.", f"own words {k} of it"] for k in (20, 21)]
+    assert [got[30 + k] for k in range(20)] == [[long, str(k)] for k in range(20)]
+    assert [got[60 + k] for k in range(2)] == [[f"Title {k}", f"own text {k}", "We are hiring", "Read our shop"] for k in range(2)]
+    assert all(got[70 + k] == ["Read our shop now or never"] for k in range(4))
+
+
+def test_nearest_page_has_other_lines(spark):
+    """Copies of a page are not its neighbours, however many partitions they fill; marked pages look for one, too."""
+    rng, rows = random.Random(9), []
+    kinds = ["<p>a</p><p>b</p>", "<article>c</article><p>b</p>", "<main>d</main><p>b</p>"]
+    for k in range(400):
+        host = rng.choice(["a", "b", "c"])
+        kind = {"a": rng.choice(kinds), "b": kinds[0] if rng.random() < 0.98 else kinds[1], "c": kinds[2]}[host]
+        rows.append((bytes([k >> 8, k & 255]), f"http://{host}/{rng.choice('xyz')}/{rng.randrange(90)}", kind))
+    near = main_text.neighbours(spark.createDataFrame(rows, "uid binary, url string, html string"), main_text.Steps(spark)).collect()
+    got = {bytes(r["uid"]): r["near"] for r in near}
+    order = sorted((u.split("/")[2], u.split("/", 3)[3], i, main_text._hashes(main_text.blocks(h))) for i, u, h in rows)
+    start = lambda a, b: len(os.path.commonprefix([a, b]))
+    for at, (host, path, uid, lines) in enumerate(order):
+        beside = [next((x for x in way if x[0] != host or x[3] != lines), None) for way in (order[:at][::-1], order[at + 1 :])]
+        a, b = (x if x and x[0] == host else None for x in beside)
+        best = a if a and (not b or start(path, a[1]) >= start(path, b[1])) else b
+        assert got[uid] == (best[3] if best else None)
+    rows = [(k, f"http://h/{k:03}", "<div>Menu</div><p>text</p>") for k in range(50)] + [(50, "http://h/050", "<div>Menu</div><p>other</p>")]
+    assert {r["text"] for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"text", "other"}
+
+
 def test_main_text_among_teasers_and_marks():
     def kept(page):
         return main_text.article_lines(main_text.blocks(page))
