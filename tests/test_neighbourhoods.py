@@ -39,3 +39,16 @@ def test_empty_and_names(spark):
     assert neighbourhoods.sizes(df.limit(0), 2).count() == 0
     with pytest.raises(ValueError):
         neighbourhoods.sizes(df, 0)
+
+
+def test_every_size_is_counted(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(1500)] + [(0, k) for k in range(400)] + [(901, 901)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    want = {(n, hop): (size, size < 60) for (n, hop), size in plain(edges, 3).items()}
+    assert max(size for size, _ in want.values()) > 600
+    got = lambda: {(r["node"], r["hop"]): (r["size"], r["exact"]) for r in neighbourhoods.sizes(df, 3, 60).collect()}
+    assert got() == want
+    for name, value in (("PIECE", 50), ("GATHERED", 2000), ("TIMES", 0), ("FLOOR", 150_000)):  # lists in pieces, wide nodes by pairs, several passes of both
+        monkeypatch.setattr(neighbourhoods, name, value)
+    assert got() == want
