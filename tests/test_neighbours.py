@@ -62,3 +62,43 @@ def test_plan_grows_slower_than_the_vectors():
     assert per(10**7, large) < 30 * per(10**5, small) and large[1] < 10 * small[1]
     with pytest.raises(ValueError):
         neighbours.plan(10, 1.0, 1e-3)
+
+
+def test_signatures_against_every_pair(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((150, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + rng.uniform(0.3, 0.8, (150, 1)) * rng.standard_normal((150, 32))]))]
+    found, _ = neighbours.similar_rows(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", miss=1e-5)
+    assert got(found) == brute(rows, 0.85)
+
+
+def test_every_pair_in_many_cells_and_passes(spark, monkeypatch):
+    for name, value in (("GROUP", 64 * 16 * 8), ("MOVED", 1), ("TALL", 32), ("WIDE", 16)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((200, 16)) * np.geomspace(1, 0.05, 16)  # a few main axes
+    rows = [(f"n{i}", v.tolist()) for i, v in enumerate([*base, *(1e130 * base[:50] + 1e129 * rng.standard_normal((50, 16))), *base[:20, :9]])]
+    work = {}
+    found, pairs = neighbours.similar_rows(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", 0.9, work=work)
+    want = brute(rows, 0.9)
+    assert got(found) == want and work["tables"] > 10
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == sum(n for x in want.values() for _, n in x) // 2
+
+
+def test_no_pair_at_the_threshold_is_missed():
+    """Products that are just the threshold: whatever the number of columns, the bound keeps them."""
+    rng = np.random.default_rng(1)
+    u = rng.standard_normal((3000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.standard_normal((3000, 64))
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    at = 0.85 * u + np.sqrt(1 - 0.85**2) * w
+    got = {(int(a), int(b)) for x, y, _ in neighbours._meet(u, at, 0.85 - 1e-12) for a, b in zip(x, y, strict=True)}
+    assert {(i, i) for i in range(3000)} <= got and len(got) < 3100
+
+
+def test_vectors_whose_squares_leave_the_numbers(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 2e200]), (3, [1.0, 1.0]), (4, [1e-200, 1e-200]), (5, [1e200, -1e200])]
+    found, pairs = neighbours.similar_rows(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.9)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
