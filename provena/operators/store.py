@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from .state import remove
+from .state import remove, write
 
 REMEMBERED = 1000
 
@@ -107,23 +107,25 @@ class Store:
 
     def commit(self, batch: str, base: dict, replace: dict | None = None, append: dict | None = None, notes: dict | None = None) -> dict:
         """One version more. replace: name to (rows, keys, buckets, touched): the rows are all that the touched buckets hold from
-        now on; append: name to (rows, keys, buckets): the rows are added to their buckets. base is the manifest that both were
-        made from. Gives the new manifest, or base as it is where the batch was applied before.
+        now on; append: name to (rows, keys, buckets): the rows are added to their buckets. Rows that `stage` wrote have what it
+        gave beside them as one entry more. base is the manifest that both were made from. Gives the new manifest, or base as it
+        is where the batch was applied before.
         """
         if batch in base["applied"]:
             return base
         new = json.loads(json.dumps(base))
         new["version"], new["applied"] = base["version"] + 1, [*base["applied"], batch][-REMEMBERED:]
         new["notes"].update(notes or {})
-        for name, (rows, keys, buckets, touched) in (replace or {}).items():
+        for name, (rows, keys, buckets, touched, *staged) in (replace or {}).items():
             t = self._table(new, name, rows, keys, buckets)
-            written = self._write(name, rows, keys, buckets)
+            written = staged[0] if staged else self._write(name, rows, keys, buckets).items()
             for b in touched:
                 t["at"].pop(str(b), None)
-            t["at"].update({b: [d] for b, d in written.items()})
-        for name, (rows, keys, buckets) in (append or {}).items():
+            for b, d in written:
+                t["at"].setdefault(b, []).append(d)
+        for name, (rows, keys, buckets, *staged) in (append or {}).items():
             t = self._table(new, name, rows, keys, buckets)
-            for b, d in self._write(name, rows, keys, buckets).items():
+            for b, d in staged[0] if staged else self._write(name, rows, keys, buckets).items():
                 t["at"].setdefault(b, []).append(d)
         self._publish(new)
         return new
@@ -135,11 +137,21 @@ class Store:
             raise ValueError(f"{name} has other keys, buckets or columns")
         return t
 
-    def _write(self, name: str, rows: DataFrame, keys: list[str], buckets: int) -> dict[str, str]:
+    def stage(self, name: str, rows: DataFrame, keys: list[str], buckets: int, dealt: bool = False) -> tuple[DataFrame, list[tuple[str, str]]]:
+        """Rows that a commit will append, written ahead where they will stay, and read back: a batch that reads them again writes
+        them once. Until then no manifest names them. dealt: the rows lie in few partitions a bucket already.
+        """
+        written = self._write(name, rows, keys, buckets, dealt)
+        paths = [f"{self.path}/data/{name}/{d}/bucket={b}" for b, d in written.items()]
+        back = self.spark.read.schema(rows.schema).parquet(*paths) if paths else self.spark.createDataFrame([], rows.schema)
+        return back, list(written.items())
+
+    def _write(self, name: str, rows: DataFrame, keys: list[str], buckets: int, dealt: bool = False) -> dict[str, str]:
         """Rows by bucket in a folder of their own; the buckets that got any."""
         d = f"w-{uuid.uuid4().hex}"
         path = f"{self.path}/data/{name}/{d}"
-        rows.withColumn("bucket", self.bucket(keys, buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(path)
+        rows = rows.withColumn("bucket", self.bucket(keys, buckets))
+        write((rows if dealt else rows.hint("rebalance", "bucket")).sortWithinPartitions("bucket", *keys), path, by=("bucket",))
         p, fs = self._fs(path)
         found = (s.getPath().getName() for s in fs.listStatus(p))
         return {n.removeprefix("bucket="): d for n in found if n.startswith("bucket=")}

@@ -3,7 +3,7 @@
 A document's score is the sum over its fields of the field's weight times BM25 in that field. The index is a Store with
 
 * docs: id, segment, the number of tokens of each field; the segment of an id is the newest batch that had it,
-* forward: id, segment, term, the term's count in each field,
+* forward: id, segment, term, the term's count in each field and the tokens of each field of the document,
 * terms: term and the change of its document count in each field, a row for each batch,
 * postings: blocks of at most BLOCK postings of one term, with the largest count and the least length of each field in the block.
 
@@ -24,10 +24,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .search import tokens
-from .state import materialize
+from .state import Steps, materialize
 from .store import Store
 
 K1, B, BLOCK, SLOT = 1.2, 0.75, 64, 1024
+#: Postings that one pass over a segment's rows sorts and writes; PASSES at most, since each reads all rows.
+POSTED, PASSES = 1 << 22, 8
 #: Below this difference scores count as equal, so that no block is left out by rounding.
 TINY = 1e-9
 
@@ -52,17 +54,22 @@ class TextIndex:
         base = self.store.manifest()
         if batch in base["applied"]:
             return base
-        segment, lens, tfs = base["version"] + 1, self._numbers("len"), self._numbers("tf")
-        named = docs.where(F.col(id_col).isNotNull())
-        split = named.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(f"t_{k}") for k, f in enumerate(self.fields)])
+        segment, lens, tfs, steps = base["version"] + 1, self._numbers("len"), self._numbers("tf"), Steps(self.store.spark)
+        named = docs.where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "id")
+        n_new = named.select("id").count()
+        # texts go once through the shuffle, to parts of the id buckets; their words are split, counted and written there
+        parts, dealt = -(-n_new // SLOT // self.buckets) or 1, named.select("id", *[F.col(f).alias(f"f_{k}") for k, f in enumerate(self.fields)])
+        bucket, part = self.store.bucket(["id"], self.buckets), F.pmod(F.hash("id"), F.lit(parts))
+        dealt = dealt.withColumns({"bucket": bucket, "part": part}).repartition(self.buckets * parts, "bucket", "part")
+        split = dealt.select("bucket", "part", "id", *[tokens(F.col(f"f_{k}")).alias(f"t_{k}") for k in range(len(self.fields))])
         in_field = lambda k: F.transform(f"t_{k}", lambda t: F.struct(t.alias("term"), F.lit(k).alias("field")))
-        found = split.select("id", F.explode(F.concat(*[in_field(k) for k in range(len(self.fields))])).alias("x")).groupBy("id", F.col("x.term").alias("term"))
-        forward = found.agg(*[F.count_if(F.col("x.field") == k).alias(n) for k, n in enumerate(tfs)])
-        forward = materialize(forward.select("id", F.lit(segment).alias("segment"), "term", *tfs), "index-forward")
-        # lengths are sums of counts, so that texts are read and split once; the second scan is of ids alone, for those without a token
-        summed = forward.groupBy("id").agg(*[F.sum(t).alias(n) for t, n in zip(tfs, lens, strict=True)])
-        sizes = named.select(F.col(id_col).alias("id")).join(summed, "id", "left").select("id", F.lit(segment).alias("segment"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in lens])
-        sizes = materialize(sizes, "index-docs")
+        split = split.select("bucket", "part", "id", *[F.size(f"t_{k}").cast("long").alias(n) for k, n in enumerate(lens)], F.explode(F.concat(*[in_field(k) for k in range(len(self.fields))])).alias("x"))
+        forward = split.groupBy("bucket", "part", "id", F.col("x.term").alias("term"), *lens).agg(*[F.count_if(F.col("x.field") == k).alias(n) for k, n in enumerate(tfs)])
+        forward, forward_at = self.store.stage("forward", forward.select("id", F.lit(segment).alias("segment"), "term", *tfs, *lens), ["id"], self.buckets, dealt=True)
+        # lengths come with the counts, so that texts are read and split once; the second scan is of ids alone, for those without a token
+        known = forward.groupBy("id").agg(*[F.max(n).alias(n) for n in lens])
+        sizes = named.select("id").join(known, "id", "left").select("id", F.lit(segment).alias("segment"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in lens])
+        sizes = steps.write(sizes, "index-docs")
 
         touched = self.store.touched(sizes, ["id"], self.buckets)
         kept, gone, less = sizes, None, None
@@ -74,13 +81,15 @@ class TextIndex:
         count = lambda df, sign: df.groupBy("term").agg(*[(F.count_if(F.col(n) > 0) * sign).alias(f"df_{k}") for k, n in enumerate(tfs)])
         change = count(forward, 1) if less is None else count(forward, 1).unionByName(count(less, -1)).groupBy("term").agg(*[F.sum(f"df_{k}").alias(f"df_{k}") for k in range(len(tfs))])
         totals = self._totals(base, sizes, gone)
-        n_new = sizes.count()
-        return self.store.commit(
+        postings, postings_at = self._postings(forward, segment, max(1, n_new // SLOT))
+        made = self.store.commit(
             batch, base,
             replace={"docs": (kept, ["id"], self.buckets, touched)},
-            append={"forward": (forward, ["id"], self.buckets), "terms": (change, ["term"], self.buckets), "postings": (self._postings(forward, sizes, max(1, n_new // SLOT)), ["term"], self.buckets)},
+            append={"forward": (forward, ["id"], self.buckets, forward_at), "terms": (change, ["term"], self.buckets), "postings": (postings, ["term"], self.buckets, postings_at)},
             notes={"totals": totals},
         )
+        steps.drop("index-docs")
+        return made
 
     def _totals(self, base: dict, new: DataFrame, gone: DataFrame | None) -> list[int]:
         """Documents, and tokens of each field."""
@@ -89,21 +98,32 @@ class TextIndex:
         minus = sums(gone) if gone is not None else [0] * len(before)
         return [b + p - m for b, p, m in zip(before, sums(new), minus, strict=True)]
 
-    def _postings(self, forward: DataFrame, sizes: DataFrame, slots: int) -> DataFrame:
-        """Blocks: segment, term, slot, block, n, top_<k>, least_<k> and entries; a group is one term in one slot, about SLOT entries at most."""
+    def _postings(self, forward: DataFrame, segment: int, slots: int) -> tuple[DataFrame, list[tuple[str, str]]]:
+        """Blocks, staged: segment, term, slot, block, n, top_<k>, least_<k> and entries; a group is one term in one slot, about SLOT entries at most.
+
+        Rows go once through the shuffle, to parts of a bucket's slots that are both the groups' and the written files'; a large
+        segment takes its buckets in passes, so that only a part of it is on its way.
+        """
         lens, tfs = self._numbers("len"), self._numbers("tf")
-        rows = forward.join(sizes, ["id", "segment"]).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
+        parts, passes = -(-slots // self.buckets), min(PASSES, self.buckets, max(1, -(-forward.count() // POSTED)))
         weight = reduce(lambda a, b: a + b, [F.col(t) / (F.col(t) + F.col(n) / 100.0 + 1) for t, n in zip(tfs, lens, strict=True)])
-        rows = rows.select("segment", "term", "slot", F.struct((-weight).alias("weight"), "id", *tfs, *lens).alias("e"))
-        lists = rows.groupBy("segment", "term", "slot").agg(F.array_sort(F.collect_list("e")).alias("es"))
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("es") - 1) / BLOCK).cast("int")), lambda b: F.slice("es", b * BLOCK + 1, BLOCK))
-        parts = lists.select("segment", "term", "slot", F.posexplode(blocks).alias("block", "b"))
         of = lambda name: F.transform("b", lambda e: e[name])
-        return parts.select(
-            "segment", "term", "slot", "block", F.size("b").alias("n"), *[F.array_max(of(t)).alias(f"top_{k}") for k, t in enumerate(tfs)],
-            *[F.array_min(of(n)).alias(f"least_{k}") for k, n in enumerate(lens)],
-            F.transform("b", lambda e: F.struct(e["id"].alias("id"), *[e[x].alias(x) for x in (*tfs, *lens)])).alias("entries"),
-        )
+        back, at = None, []
+        for k in range(passes):
+            bucket = self.store.bucket(["term"], self.buckets)
+            rows = forward.where(F.pmod(bucket, F.lit(passes)) == k).select("term", "id", *tfs, *lens, bucket.alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot"))
+            rows = rows.repartition(max(1, -(-self.buckets // passes)) * parts, "bucket", F.pmod("slot", F.lit(parts)))
+            rows = rows.select("bucket", F.pmod("slot", F.lit(parts)).alias("part"), "term", "slot", F.struct((-weight).alias("weight"), "id", *tfs, *lens).alias("e"))
+            lists = rows.groupBy("bucket", "part", "term", "slot").agg(F.array_sort(F.collect_list("e")).alias("es"))
+            cut = lists.select("term", "slot", F.posexplode(blocks).alias("block", "b")).select(
+                F.lit(segment).alias("segment"), "term", "slot", "block", F.size("b").alias("n"), *[F.array_max(of(t)).alias(f"top_{j}") for j, t in enumerate(tfs)],
+                *[F.array_min(of(n)).alias(f"least_{j}") for j, n in enumerate(lens)],
+                F.transform("b", lambda e: F.struct(e["id"].alias("id"), *[e[x].alias(x) for x in (*tfs, *lens)])).alias("entries"),
+            )
+            back, more = self.store.stage("postings", cut, ["term"], self.buckets, dealt=True)
+            at += more
+        return back, at
 
     def compact(self, batch: str) -> dict:
         """All documents that count now as one segment: dead postings, old rows of terms and forward go."""
@@ -111,13 +131,16 @@ class TextIndex:
         if batch in base["applied"]:
             return base
         segment = base["version"] + 1
-        docs = self.store.read("docs", manifest=base)
+        docs, steps = self.store.read("docs", manifest=base), Steps(self.store.spark)
         forward = self.store.read("forward", manifest=base).join(docs.select("id", "segment"), ["id", "segment"], "left_semi").withColumn("segment", F.lit(segment))
-        forward, docs = materialize(forward.select("id", "segment", "term", *self._numbers("tf")), "index-forward"), docs.withColumn("segment", F.lit(segment))
+        forward, docs = steps.write(forward.select("id", "segment", "term", *self._numbers("tf"), *self._numbers("len")), "index-forward"), docs.withColumn("segment", F.lit(segment))
         terms = forward.groupBy("term").agg(*[F.count_if(F.col(n) > 0).alias(f"df_{k}") for k, n in enumerate(self._numbers("tf"))])
         every = list(range(self.buckets))
-        tables = {"docs": (docs, ["id"]), "forward": (forward, ["id"]), "terms": (terms, ["term"]), "postings": (self._postings(forward, docs, max(1, base["notes"]["totals"][0] // SLOT)), ["term"])}
-        return self.store.commit(batch, base, replace={n: (df.select(*self.store.read(n, [], base).columns), keys, self.buckets, every) for n, (df, keys) in tables.items()})
+        postings, at = self._postings(forward, segment, max(1, base["notes"]["totals"][0] // SLOT))
+        tables = {"docs": (docs, ["id"]), "forward": (forward, ["id"]), "terms": (terms, ["term"]), "postings": (postings, ["term"], at)}
+        made = self.store.commit(batch, base, replace={n: (df.select(*self.store.read(n, [], base).columns), keys, self.buckets, every, *staged) for n, (df, keys, *staged) in tables.items()})
+        steps.drop("index-forward")
+        return made
 
     # questions
 

@@ -1,10 +1,15 @@
 """The stored index against scores of all documents, over batches, changes and compaction."""
 
+import glob
 import math
+import os
 import random
 
+from provena.operators import text_index
+from provena.operators.state import shared_folder
 from provena.operators.store import Store
 from provena.operators.text_index import TextIndex, words
+from pyspark.sql import functions as F
 
 
 def plain(docs, question, k, weights):
@@ -72,3 +77,22 @@ def test_blocks_are_left_out(spark, tmp_path):
         got = [(r["rank"], r["id"], round(r["score"], 7)) for r in index.search(question, k, work=work).collect()]
         assert got == [(a, i, round(s, 7)) for a, i, s, _ in plain({i: (t,) for i, t in docs}, question, k, [1.0])]
         assert work["postings"] >= 9000 and work["read"] < 0.3 * work["postings"], work
+
+
+def test_batch_leaves_its_segment_and_nothing_else(spark, tmp_path, monkeypatch):
+    """A batch's rows are written once, in passes if they are many, and its shuffle files go."""
+    monkeypatch.setattr(text_index, "POSTED", 1500)
+    rng = random.Random(8)
+    docs = {i: " ".join(rng.choice(["the", "of", "isnad"]) if rng.random() < 0.5 else f"w{rng.randrange(300)}" for _ in range(rng.randrange(40))) for i in range(400)}
+    index = TextIndex(Store(spark, f"file://{tmp_path}/i"), ["body"], buckets=4)
+    places = [f"{spark.conf.get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*.data", f"{shared_folder(spark).removeprefix('file://')}/index-*"]
+    before = [set(glob.glob(p)) for p in places]
+    index.add("all", spark.createDataFrame([(i, t) for i, t in docs.items()], "id long, body string"), "id")
+    shuffled, copies = (set(glob.glob(p)) - b for p, b in zip(places, before, strict=True))
+    assert sum(os.path.getsize(f) for f in shuffled) < 20_000 and not copies  # counts and lists of buckets
+    at = index.store.manifest()["tables"]["postings"]["at"]
+    assert len({d for dirs in at.values() for d in dirs}) == 4  # a folder for each pass
+    postings = index.store.read("postings").select("term", F.explode("entries").alias("e")).select("term", "e.id", "e.tf_0", "e.len_0")
+    want = {(t, i, text.split().count(t), len(text.split())) for i, text in docs.items() for t in set(text.split())}
+    got = [tuple(r) for r in postings.collect()]
+    assert set(got) == want and len(got) == len(want)
