@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .graph import undirected
 from .state import Steps
@@ -14,13 +14,13 @@ PIECE = 4096
 #: Members, repeats included, up to which a node's are gathered in one row; of other nodes each pair of node and member is a row.
 GATHERED = 1 << 17
 #: Members that a pass moves at most, so many times those of the lists that every pass reads, or FLOOR.
-TIMES, FLOOR = 3, 1 << 26
+TIMES, FLOOR = 4, 1 << 26
 
 
-def _lists(pairs: DataFrame, many: DataFrame) -> DataFrame:
-    """node, members of distinct pairs (node, member); many: node, pieces for those with more than PIECE members."""
-    piece = F.pmod(F.xxhash64("member"), F.coalesce("pieces", F.lit(1)))
-    return pairs.join(many, "node", "left").groupBy("node", piece.alias("piece")).agg(F.collect_list("member").alias("members")).drop("piece")
+def _lists(pairs: DataFrame) -> DataFrame:
+    """node, members of distinct pairs (node, member) that lie together by node."""
+    pieces = F.ceil(F.count("*").over(Window.partitionBy("node")) / PIECE)
+    return pairs.select("node", "member", F.pmod(F.xxhash64("member"), pieces).alias("piece")).groupBy("node", "piece").agg(F.collect_list("member").alias("members")).drop("piece")
 
 
 def _share(what: str, k: int, n: int) -> Column:
@@ -57,8 +57,7 @@ def _step(steps: Steps, near: DataFrame, state: DataFrame, hop: int, last: bool)
         if last:
             counts = steps.write(found.groupBy("node").agg(F.count("*").alias("n")), f"counts-{hop}")
         else:
-            pieces = weights.where(~few).select("node", F.ceil(F.col("weight") / n / PIECE).alias("pieces"))
-            reached = steps.write(_lists(found, pieces), f"reached-{hop}")
+            reached = steps.write(_lists(found.repartition("node")), f"reached-{hop}")
     steps.drop(f"weights-{hop}")
     if not last:
         counts = reached.select("node", F.size("members").cast("long").alias("n"))
@@ -82,8 +81,7 @@ def sizes(edges: DataFrame, hops: int, whole: int = 256) -> DataFrame:
     ends = steps.write(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     both = undirected(ends).select("node", F.col("other").alias("member"))
     both = both.union(both.select("node", "node"))  # a step may stay
-    many = both.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > PIECE).select("node", F.ceil(F.col("n") / PIECE).alias("pieces"))
-    near = steps.write(_lists(both.repartition("node").distinct(), many), "reached-1")
+    near = steps.write(_lists(both.repartition("node").distinct()), "reached-1")
     steps.drop("edges")
     state, found = near, []
     for hop in range(1, hops + 1):
