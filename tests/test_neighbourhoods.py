@@ -1,9 +1,12 @@
 """Neighbourhood sizes against sets in plain Python."""
 
+import glob
+import os
 import random
 
 import pytest
 from provena.operators import neighbourhoods
+from provena.operators.state import shared_folder
 
 
 def plain(edges, hops):
@@ -52,3 +55,15 @@ def test_every_size_is_counted(spark, monkeypatch):
     for name, value in (("PIECE", 50), ("GATHERED", 2000), ("TIMES", 0), ("FLOOR", 150_000)):  # lists in pieces, wide nodes by pairs, several passes of both
         monkeypatch.setattr(neighbourhoods, name, value)
     assert got() == want
+
+
+def test_last_sets_are_counted_and_not_kept(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(6000)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    files = lambda: {f for f in glob.glob(f"{shared_folder(spark).removeprefix('file://')}/*/*.parquet")}
+    before = files()
+    got = {(r["node"], r["hop"]): r["size"] for r in neighbourhoods.sizes(df, 2, 4096).collect()}
+    assert got == plain(edges, 2)
+    members = sum(n for (_, hop), n in got.items() if hop == 2)
+    assert sum(os.path.getsize(f) for f in files() - before) < members  # a byte for each member would be more
